@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op3_decontamination", "op7_sharding"]
+MODULES = ["op1_quality", "op2_language", "op3_decontamination", "op4_simhash", "op5_neighbours", "op6_warc", "op7_sharding", "op9_token_counts"]
 
 QUERIES = {}
 ORACLES = {}
