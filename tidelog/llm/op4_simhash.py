@@ -142,18 +142,25 @@ def anchors(prints: np.ndarray, blocks: int, within: int) -> tuple[np.ndarray, n
 # ---------------------------------------------------------------- comparison
 
 
-def forest(prints: np.ndarray, home: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, root) that join the rows which home rows reach; near(i, j): which pairs of rows link."""
+def apart(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which rows i and j differ, over all seeds."""
+    return sum(np.bitwise_count(prints[i, k] ^ prints[j, k]).astype(np.int16) for k in range(prints.shape[1]))
+
+
+def forest(prints: np.ndarray, home: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, root) that join the rows which home rows reach, one a row at most. prints: a column a seed."""
     n = len(prints)
     label = np.arange(n)
     homes = np.flatnonzero(home)
+    lead = np.ascontiguousarray(prints[:, 0])
     step = max(1, 1_000_000 // max(1, n))
     for at in range(0, len(homes), step):
-        i = np.repeat(homes[at : at + step], n)
-        j = np.tile(np.arange(n), len(i) // n)
+        some = homes[at : at + step]
+        row, j = np.nonzero(np.bitwise_count(lead[some, None] ^ lead[None, :]) <= min(most_bits, 64))
+        i = some[row]
         open_ = label[i] != label[j]
         i, j = i[open_], j[open_]
-        close = near(i, j)
+        close = apart(prints, i, j) <= most_bits
         i, j = i[close], j[close]
         while len(i):
             low = np.minimum(label[i], label[j])
@@ -170,22 +177,14 @@ def forest(prints: np.ndarray, home: np.ndarray, near) -> tuple[np.ndarray, np.n
     return rows, label[rows]
 
 
-def _compare(keys: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal key; keys are sorted, prints has a column a seed."""
-    totals = prints.shape[1]
-
-    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = np.zeros(len(i), dtype=np.int16)
-        for k in range(totals):
-            apart += np.bitwise_count(prints[i, k] ^ prints[j, k])
-        return apart <= most_bits
-
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(keys)))
+def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal group, at least one of them at home there; groups are sorted."""
+    first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(groups)))
     large = size > 256
-    out = []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for a, n in zip(first[large], size[large], strict=True):
-        rows, roots = forest(prints[a : a + n], home[a : a + n], lambda i, j, a=a: near(i + a, j + a))
+        rows, roots = forest(prints[a : a + n], home[a : a + n], most_bits)
         out.append((rows + a, roots + a))
     # The small groups together: every home row against its whole group, some two million pairs at a time.
     start, reach = np.repeat(first, size), np.repeat(size, size)
@@ -197,84 +196,77 @@ def _compare(keys: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits:
             n = reach[part]
             i = np.repeat(part, n)
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[part], n)
-            i, j = i[i != j], j[i != j]
-            close = near(i, j)
+            close = (apart(prints, i, j) <= most_bits) & (i != j)
             out.append((i[close], j[close]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def links(nodes: DataFrame, seeds: int, blocks: int, within: int, most_bits: int, most: int = MOST) -> DataFrame:
-    """Pairs (a, b) of node ids that link, enough of them to join every component.
+    """Pairs of fingerprints (a0, a1, ..., b0, b1, ...) that link, enough of them to join every component.
 
-    nodes: node (bigint) and f0, f1, ..., distinct. The search runs over f0; `most_bits` holds over all of them together.
+    nodes: f0, f1, ..., distinct. The search runs over f0; `most_bits` holds over all of them together.
     """
     spark = nodes.sparkSession
     names = [f"f{k}" for k in range(seeds)]
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, keys, _ = anchors(batch.column("f0").to_numpy().view(np.uint64), blocks, within)
-            kind, count = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(count)], names=["key", "rows"])
+        for whole in batches:
+            for at in range(0, len(whole), 2_000):
+                _, keys, _ = anchors(whole.slice(at, 2_000).column("f0").to_numpy().view(np.uint64), blocks, within)
+                kind, count = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(count)], names=["key", "rows"])
 
     # Anchors over the bound, at most as many as one for each `most` rows; the list is capped for the driver and,
     # past the cap, leaves the smallest of them whole.
     counts = nodes.select("f0").mapInArrow(tally, "key bigint, rows bigint").groupBy("key").agg(F.sum("rows").alias("rows"))
-    hot = {r["key"]: -(-r["rows"] // most) for r in counts.where(F.col("rows") > most).orderBy(F.desc("rows")).limit(50_000).collect()}
+    hot = {r["key"]: min(2_000, -(-r["rows"] // most)) for r in counts.where(F.col("rows") > most).orderBy(F.desc("rows")).limit(50_000).collect()}
     hot_keys = np.array(sorted(hot), dtype=np.int64)
     hot_parts = np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 2_000):
-                batch = whole.slice(at, 2_000)
-                node = batch.column("node").to_numpy()
-                prints = [batch.column(x).to_numpy() for x in names]
-                row, key, home = anchors(prints[0].view(np.uint64), blocks, within)
+                prints = [whole.slice(at, 2_000).column(x).to_numpy() for x in names]
+                lead = prints[0].view(np.uint64)
+                row, key, home = anchors(lead, blocks, within)
                 pair = np.zeros(len(row), dtype=np.int64)
-                if len(hot_keys):
+                if len(hot_keys):  # each row of a hot anchor goes to every pair of parts that has its own part
                     spot = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
                     parts = np.where(hot_keys[spot] == key, hot_parts[spot], 1)
-                    mine = (prints[0].view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+                    mine = (lead[row] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
                     row, key, home, mine, each = (np.repeat(x, parts) for x in (row, key, home, mine, parts))
                     other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
                     pair = np.minimum(mine, other) * each + np.maximum(mine, other)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pair), pa.array(node[row]), pa.array(home), *(pa.array(x[row]) for x in prints)], names=["key", "pair", "node", "home", *names])
+                group = ((key << 22 | pair) << 1) | home
+                yield pa.RecordBatch.from_arrays([pa.array(group), *(pa.array(x[row]) for x in prints)], names=["g", *names])
 
-    types = "key bigint, pair bigint, node bigint, home boolean, " + ", ".join(f"{x} bigint" for x in names)
-    dealt = nodes.select("node", *names).mapInArrow(spread, types)
+    dealt = nodes.select(*names).mapInArrow(spread, "g bigint, " + ", ".join(f"{x} bigint" for x in names))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair")
+    dealt = dealt.repartition(parts, F.shiftright("g", 1)).sortWithinPartitions("g")
+    ends = [f"{side}{k}" for side in "ab" for k in range(seeds)]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
         def settle(run: pa.Table) -> pa.RecordBatch:
-            column = lambda x: run.column(x).to_numpy()
-            keys, pairs = column("key"), column("pair")
-            turn = np.append(0, np.cumsum((keys[1:] != keys[:-1]) | (pairs[1:] != pairs[:-1])))
-            prints = np.stack([column(x).view(np.uint64) for x in names], axis=1)
-            i, j = _compare(turn, prints, np.asarray(run.column("home")), most_bits)
-            node = column("node")
-            both = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            g = run.column("g").to_numpy()
+            prints = np.stack([run.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
+            i, j = compare(g >> 1, prints, (g & 1).astype(bool), most_bits)
+            both = np.unique(np.concatenate([prints[np.maximum(i, j)], prints[np.minimum(i, j)]], axis=1), axis=0).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], names=ends)
 
         for batch in batches:
-            if not len(batch):
-                continue
-            rest.append(batch)
-            key, pair = batch.column("key").to_numpy(), batch.column("pair").to_numpy()
-            last = np.flatnonzero((key != key[-1]) | (pair != pair[-1]))
-            if len(last):  # all but the last group are complete
-                at = int(last[-1]) + 1
-                yield settle(pa.Table.from_batches([*rest[:-1], batch.slice(0, at)]))
-                rest = [batch.slice(at)]
+            if len(batch):
+                rest.append(batch)
+                g = batch.column("g").to_numpy() >> 1
+                at = int(np.searchsorted(g, g[-1]))
+                if at:  # all but the last group are complete
+                    yield settle(pa.Table.from_batches([*rest[:-1], batch.slice(0, at)]))
+                    rest = [batch.slice(at)]
         if rest:
             yield settle(pa.Table.from_batches(rest))
 
-    return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(meet, ", ".join(f"{x} bigint" for x in ends)).distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 4, seeds: tuple[int, ...] = (42,), most_bits: int = 4, search_bits: int | None = None, blocks: int = 3, most: int = MOST) -> DataFrame:
@@ -286,9 +278,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, seeds: tuple[int, ..
     names = [f"f{k}" for k in range(len(seeds))]
     prints = cut(fingerprinted(documents, shingle, seeds))
     distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("least_id"))
-    nodes = cut(distinct.select(F.xxhash64(*names).alias("node") if len(seeds) > 1 else F.col("f0").alias("node"), *names, "least_id"))
+    node = lambda columns: F.xxhash64(*columns) if len(seeds) > 1 else F.col(columns[0])
+    nodes = cut(distinct.select(node(names).alias("node"), *names, "least_id"))
     edges = links(nodes, len(seeds), blocks, (most_bits if search_bits is None else search_bits) // blocks, most_bits, most)
-    roots = components(edges)
+    roots = components(edges.select(*(node([f"{x}{k}" for k in range(len(seeds))]).alias(x) for x in "ab")))
     rooted = nodes.join(roots, nodes["node"] == roots["a"], "left").select(*names, "least_id", F.coalesce("b", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select(*names, "component_id")
