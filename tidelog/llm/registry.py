@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_quality", "op2_language", "op3_decontamination", "op4_simhash", "op5_neighbours", "op6_warc", "op7_sharding", "op9_token_counts"]
+MODULES = [
+    "op1_quality",
+    "op2_language",
+    "op3_decontamination",
+    "op4_simhash",
+    "op5_neighbours",
+    "op6_warc",
+    "op7_sharding",
+    "op8_sentencepiece",
+    "op9_token_counts",
+    "op10_substrings",
+]
 
 QUERIES = {}
 ORACLES = {}
