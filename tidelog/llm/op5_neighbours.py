@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by an inverted multi-index, under the inner product.
 
-The two halves of the vectors are quantised separately, with K centroids each; a cell is a pair of centroids. A query
+The two halves of the vectors are quantised separately, with k centroids each (CENTRES, whatever the size, so that a query
+goes through equally many cells); a cell is a pair of centroids. A query
 scores the centroids of either half and goes through the pairs in order of their sum with a heap, until the
 cells gone through hold a set share of the entries. Those entries are reranked by the exact inner product in double
 precision.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 NAME = "op5_neighbours"
-TOP, SAMPLE, RECALL, BLOCK = 20, 10_000, 0.96, 2_048
+TOP, SAMPLE, RECALL, BLOCK, CENTRES = 20, 10_000, 0.96, 2_048, 16
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ class MultiIndex:
         return float(min(1.0, np.quantile(needs, recall)))
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int = SAMPLE, recall: float = RECALL, k: int | None = None) -> DataFrame:
+def neighbours(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int = SAMPLE, recall: float = RECALL, k: int = CENTRES) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest rows. rows, queries: as usable() gives them."""
     spark = rows.sparkSession
     ranked = Window.partitionBy("embedding").orderBy("vec_id")
@@ -123,7 +124,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int
         return spark.createDataFrame([], schema)
     picked = entries.select("entry", "embedding").orderBy(F.xxhash64("entry"), "entry").limit(sample).collect()
     points = np.array([r["embedding"] for r in picked], dtype=np.float64)
-    index = MultiIndex(points, k or int(np.clip((total / 128) ** 0.5, 1, 256)), top, recall)
+    index = MultiIndex(points, k, top, recall)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
