@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from .common import table
+from .common import free, table
 
 NAME = "op10_substrings"
 REACH, MIN_UNIT, MIN_BYTES, MAX_CHUNK, NEXT_SPACE = 20, 40, 64, 2_048, 64
@@ -148,15 +148,17 @@ def _mark():
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents with every passage kept at its first place only; the columns are the same, and n_cut units were cut."""
-    cuts = repeated(documents).select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"), F.col("cuts").alias("_cuts"))
-    frame = documents.withColumn("_own", _mark())
-    met = frame.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left").drop("_own", "_mark", "_id")
+    documents = documents.drop("n_cut")
+    same, theirs, own, gone = free(documents, "cut_id", "cut_mark", "own_mark", "cuts")
+    cuts = repeated(documents).select(F.col("doc_id").alias(same), F.col("text_mark").alias(theirs), F.col("cuts").alias(gone))
+    frame = documents.withColumn(own, _mark())
+    met = frame.join(cuts, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col(own) == F.col(theirs)), "left").drop(own, theirs, same)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spot = batch.schema.get_field_index("text")
-            cut = batch.column(batch.schema.get_field_index("_cuts"))
+            cut = batch.column(batch.schema.get_field_index(gone))
             texts = batch.column(spot)
             new = [without(t.as_py(), c.as_py()) if c.is_valid else t.as_py() for t, c in zip(texts, cut, strict=True)]
             counts = [len(c) if c.is_valid else 0 for c in cut]

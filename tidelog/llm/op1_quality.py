@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fold, labelled_sample, table
+from .common import fold, free, labelled_sample, table
 
 NAME = "op1_quality"
 HALF, DIMS, FILTERS = 16, 6, 32
@@ -145,18 +145,18 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", per_c
     return network.fit([r[1].encode("utf-8", "surrogatepass") for r in rows], target)
 
 
-def scored(documents: DataFrame, network: Network) -> DataFrame:
-    """documents with a column score, 0 to 1."""
+def scored(documents: DataFrame, network: Network, column: str = "score") -> DataFrame:
+    """documents with a column of scores, 0 to 1, in place of any of that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1_000):
                 batch = whole.slice(at, 1_000)
                 texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.scores(texts), pa.float64())], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(network.scores(texts), pa.float64())], names=[*batch.schema.names, column])
 
-    frame = documents.drop("score")
-    return frame.mapInArrow(run, StructType(list(frame.schema.fields)).add("score", "double"))
+    frame = documents.drop(column)
+    return frame.mapInArrow(run, StructType(list(frame.schema.fields)).add(column, "double"))
 
 
 def model(spark: SparkSession, sf_dir: str) -> Network:
@@ -172,7 +172,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(documents: DataFrame, network: Network) -> DataFrame:
     """The documents that score 0.5 or more, with their columns."""
-    return scored(documents, network).where("score >= 0.5").select(*[F.col(f"`{c}`") for c in documents.columns])
+    (name,) = free(documents, "score")
+    return scored(documents, network, name).where(F.col(name) >= 0.5).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 ORACLE_SQL = None

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, free, table
 from .components import components
 
 NAME = "op4_simhash"
@@ -299,8 +299,9 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     Rows that repeat a doc_id are one document: they stay or go together. Rows without a doc_id stay.
     """
     found = near_duplicates(documents, **options)
-    copies = found.where("doc_id > component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return documents.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    (name,) = free(documents, "copy_id")
+    copies = found.where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(copies, F.col("doc_id") == F.col(name), "left_anti")
 
 
 ORACLE_SQL = None

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 NAME = "op7_sharding"
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -54,14 +54,15 @@ def shard(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int
     spark = df.sparkSession
     owner = fill(tuple(shards), slots)
     names = F.array(*[F.lit(x) for x in shards])
-    owners = spark.createDataFrame([(s, int(k)) for s, k in enumerate(owner)], "_slot int, _owner int")
+    at, own, held = free(df, "at", "own_slot", "owner")
+    owners = spark.createDataFrame([(s, int(k)) for s, k in enumerate(owner)], f"`{own}` int, `{held}` int")
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     slot = F.pmod(F.xxhash64(text), F.lit(slots).cast("bigint")).cast("int")
     kept = [c for c in df.columns if c not in ("slot", "shard")]
     return (
-        df.select(*[F.col(f"`{c}`") for c in kept], slot.alias("_at"))
-        .join(F.broadcast(owners), F.col("_at") == F.col("_slot"))
-        .select(*[F.col(f"`{c}`") for c in kept], F.col("_at").alias("slot"), names[F.col("_owner")].alias("shard"))
+        df.select(*[F.col(f"`{c}`") for c in kept], slot.alias(at))
+        .join(F.broadcast(owners), F.col(at) == F.col(own))
+        .select(*[F.col(f"`{c}`") for c in kept], F.col(at).alias("slot"), names[F.col(held)].alias("shard"))
     )
 
 
