@@ -86,6 +86,7 @@ class Vocabulary:
                 if len(piece) <= WIDTH:
                     keys.append(self._key(_codes(piece))), ids.append(i)
         self.log_weight = -np.log(np.arange(size) + ZIPF)
+        self.log_weight[self.byte_ids] = self.log_weight[3]  # bytes weigh the same
         order = np.argsort(np.array(keys, dtype=np.uint64))
         if len(set(keys)) < len(keys):
             raise ValueError("pieces of equal keys")
@@ -141,6 +142,23 @@ class Lattices:
         self.size = 0
         self._room(0)
 
+    def _thin(self) -> None:
+        """Only the units that came more than once since the last time stay, if they are half of the nodes at most."""
+        seen = self.seen
+        kept = [(u, at) for u, at in self.at.items() if seen[at] > 1]
+        sizes = np.fromiter((len(u) + 1 for u, _ in kept), dtype=np.int64, count=len(kept))
+        if sizes.sum() > CACHE // 2:
+            kept, sizes = [], sizes[:0]
+        begin = np.cumsum(sizes) - sizes
+        nodes = np.repeat(np.fromiter((at for _, at in kept), dtype=np.int64, count=len(kept)) - begin, sizes) + np.arange(sizes.sum())
+        held = (self.reach[nodes], self.piece[nodes], self.mass[nodes], self.code[nodes])
+        self.clear()
+        self._room(len(nodes))
+        for new, x in zip((self.reach, self.piece, self.mass, self.code), held, strict=True):
+            new[: len(nodes)] = x
+        self.at = dict(zip((u for u, _ in kept), begin.tolist(), strict=True))
+        self.size = len(nodes)
+
     def _room(self, more: int) -> None:
         """Arrays with room for `more` nodes."""
         if not self.size or self.size + more > len(self.code):
@@ -149,8 +167,9 @@ class Lattices:
             self.reach, self.piece = np.ones((room, WIDTH), dtype=np.float32), np.full((room, WIDTH), -1, dtype=np.int16)
             self.mass = np.zeros(room)  # log of the weight of all ways from a node to its unit's end
             self.code = np.zeros(room, dtype=np.uint32)  # 0 at a unit's end
+            seen, self.seen = getattr(self, "seen", None), np.zeros(room, dtype=np.int32)  # at a unit's first node, how often it came
             if old:
-                for new, x in zip((self.reach, self.piece, self.mass, self.code), old, strict=True):
+                for new, x in zip((self.reach, self.piece, self.mass, self.code, self.seen), (*old, seen), strict=True):
                     new[: self.size] = x[: self.size]
 
     def starts(self, units: list[str]) -> np.ndarray:
@@ -159,11 +178,13 @@ class Lattices:
         if None in found:
             new = list({u for u, at in zip(units, found, strict=True) if at is None})
             if self.size > CACHE:
-                self.clear()
-                new = list(set(units))
+                self._thin()
+                new = list({u for u in set(units) if u not in self.at})
             self._add(new)
             found = list(map(self.at.__getitem__, units))
-        return np.array(found, dtype=np.int64)
+        out = np.array(found, dtype=np.int64)
+        self.seen[: self.size] += np.bincount(out, minlength=self.size).astype(np.int32)
+        return out
 
     def log_edge(self, node: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Log-probability of the edges of given lengths, given that a path comes to their nodes."""
@@ -203,6 +224,8 @@ class Lattices:
         for n in range(1, width + 1):
             keys = _next_key(keys[:, : size - n + 1], wide[:, n - 1 :])
             found = words.find(keys.ravel()).reshape(keys.shape)
+            if n == 1:
+                found = np.where((found < 0) & (codes < 0x80), words.byte_ids[np.minimum(codes, 0x7F)], found)
             piece[:, : size - n + 1, n - 1] = found
             weight = words.weights[found]
             if n == 1:
@@ -221,6 +244,12 @@ def _utf8_size(code: np.ndarray) -> np.ndarray:
     return 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str) -> Lattices:
+    """The worker's own, from task to task."""
+    return Lattices(vocabulary(path))
+
+
 class Paths:
     """Sampled segmentations of some texts: steps in order, a node and an edge's length each."""
 
@@ -269,6 +298,7 @@ class Sampler:
         self.sizes = np.array([len(x) for x in units], dtype=np.int64)
         self.starts = lattices.starts([u for x in units for u in x])
         self.unit_first = np.append(0, np.cumsum(self.sizes))
+        self.unit_mass = np.bincount(np.repeat(np.arange(len(texts)), self.sizes), weights=lattices.mass[self.starts], minlength=len(texts))
         n = len(texts)
         self.nodes: list[list[np.ndarray]] = [[] for _ in range(n)]
         self.lengths: list[list[np.ndarray]] = [[] for _ in range(n)]
@@ -300,12 +330,9 @@ class Sampler:
         weight = self.lattices.words.weights[piece]
         spell = np.flatnonzero(piece < 0)
         weight[spell] = self.lattices.weight(node[spell], length[spell])
-        # Edges' probabilities multiply to a unit's weight over that of all ways through it.
+        # Edges' probabilities multiply to a text's weight over that of all ways through its units.
         text = np.repeat(np.arange(len(who)), counts)
-        begins = np.ones(len(node), dtype=bool)
-        begins[1:] = self.lattices.code[node[:-1] + length[:-1]] == 0
-        begins[first[:-1][counts > 0]] = True
-        totals = np.bincount(text, weights=weight - begins * self.lattices.mass[node], minlength=len(who))
+        totals = np.bincount(text, weights=weight, minlength=len(who)) - self.unit_mass[who]
         # Open nodes matter where a path still has mass: behind exp(-60) of a text no double can tell.
         place = np.arange(first[-1]) - first[:-1][text]
         near = np.flatnonzero(place < 256)
@@ -423,8 +450,7 @@ _COLUMNS = "rank int, n_pieces int, log_prob double, perturbed double, inclusion
 
 def _rows(key: str, k: int, path: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        lattices = Lattices(words)
+        words, lattices = vocabulary(path), _kept(path)
         for whole in batches:
             for batch in _portions(whole, "text"):
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -454,7 +480,7 @@ def encoded(documents: DataFrame, key: str = "doc_id", path: str = VOCABULARY) -
     """The documents with piece_ids, the first sampled segmentation, seeded by the key, and its inclusion score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(vocabulary(path))
+        lattices = _kept(path)
         for whole in batches:
             for batch in _portions(whole, "text"):
                 at = batch.schema.get_field_index
