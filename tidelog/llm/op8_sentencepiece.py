@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,7 @@ from .common import table
 
 NAME = "op8_sentencepiece"
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-SAMPLES, ZIPF, WIDTH, CACHE, BATCH = 2, 10.0, 16, 1_600_000, 1 << 20
+SAMPLES, ZIPF, WIDTH, CACHE, BATCH = 2, 10.0, 16, 250_000, 1 << 17
 _UNIT = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,7 +76,7 @@ class Vocabulary:
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.byte_ids = np.zeros(256, dtype=np.int32)
         self.content = [b""] * size
-        keys, ids = [], []
+        short = []
         for i, piece in enumerate(self.pieces):
             if model.is_byte(i):
                 value = int(piece[1:-1], 16)
@@ -84,13 +85,15 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.content[i] = piece.replace("▁", " ").encode()
                 if len(piece) <= WIDTH:
-                    keys.append(self._key(_codes(piece))), ids.append(i)
+                    short.append((piece, i))
         self.log_weight = -np.log(np.arange(size) + ZIPF)
         self.log_weight[self.byte_ids] = self.log_weight[3]  # bytes weigh the same
-        order = np.argsort(np.array(keys, dtype=np.uint64))
-        if len(set(keys)) < len(keys):
+        begins = {piece[:n]: -1 for piece, _ in short for n in range(1, len(piece))} | dict(short)
+        keys = self._keys(list(begins))
+        if len(np.unique(keys)) < len(keys):
             raise ValueError("pieces of equal keys")
-        self.keys, self.ids = np.array(keys, dtype=np.uint64)[order], np.array(ids, dtype=np.int32)[order]
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array(list(begins.values()), dtype=np.int16)[order]
         # One slot a key by its first bits; the few that share one are searched for. Slot and key of "none" are the last ones.
         slots = (self.keys >> np.uint64(44)).astype(np.int64)
         self.slot = np.full(1 << 20, -1, dtype=np.int32)
@@ -101,24 +104,22 @@ class Vocabulary:
         self.lengths = np.array([len(x) for x in self.content])
 
     @staticmethod
-    def _key(codes: np.ndarray) -> np.uint64:
-        h = np.zeros(1, dtype=np.uint64)
-        for c in codes:
-            h = _next_key(h, c)
-        return h[0]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The piece of each key, -1 where there is none."""
+    def _keys(strings: list[str]) -> np.ndarray:
+        out = np.zeros(len(strings), dtype=np.uint64)
+        codes = list(map(_codes, strings))
+        sizes = np.array(list(map(len, codes)))
+        for n in range(int(sizes.max(initial=0))):
+            rows = np.flatnonzero(sizes > n)
+            out[rows] = _next_key(out[rows], np.array([codes[r][n] for r in rows], dtype=np.uint64))
+        return out
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece of each key, -1 where there is none, and whether any piece begins with it."""
         spot = self.slot[keys >> np.uint64(44)]
-        out = np.full(len(keys), -1, dtype=np.int16)
-        one = np.flatnonzero(spot >= 0)
-        same = self.keys[spot[one]] == keys[one]
-        out[one[same]] = self.ids[spot[one[same]]]
         some = np.flatnonzero(spot == -2)
-        if len(some):
-            near = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
-            out[some] = np.where(self.keys[near] == keys[some], self.ids[near], -1)
-        return out
+        spot[some] = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        known = (self.keys[spot] == keys) & (spot >= 0)
+        return np.where(known, self.ids[spot], np.int16(-1)), known
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.content.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -161,8 +162,8 @@ class Lattices:
 
     def _room(self, more: int) -> None:
         """Arrays with room for `more` nodes."""
-        if not self.size or self.size + more > len(self.code):
-            room = max(CACHE // 4, 2 * self.size, self.size + more)
+        if not self.size and not more or self.size + more > len(self.code):
+            room = max(CACHE * 5 // 4, self.size + more)
             old = self.size and (self.reach, self.piece, self.mass, self.code)
             self.reach, self.piece = np.ones((room, WIDTH), dtype=np.float32), np.full((room, WIDTH), -1, dtype=np.int16)
             self.mass = np.zeros(room)  # log of the weight of all ways from a node to its unit's end
@@ -195,49 +196,48 @@ class Lattices:
         return np.where(piece >= 0, self.words.log_weight[piece], self.words.log_weight[3] * _utf8_size(self.code[node]))
 
     def _add(self, units: list[str]) -> None:
-        by_size: dict[int, list[str]] = {}
-        for unit in units:
-            by_size.setdefault(len(unit), []).append(unit)
-        total = sum((n + 1) * len(x) for n, x in by_size.items())
-        self._room(total)
-        at = self.size
-        for size, members in by_size.items():
-            step = max(1, 8_192 // (size + 1))
-            for k in range(0, len(members), step):
-                part = members[k : k + step]
-                here = slice(at, at + len(part) * (size + 1))
-                self._solve(part, size, self.reach[here], self.piece[here], self.mass[here], self.code[here])
-                self.at.update(zip(part, range(at, here.stop, size + 1), strict=True))
-                at = here.stop
-        self.size = at
-
-    def _solve(self, units: list[str], size: int, reach: np.ndarray, piece: np.ndarray, mass: np.ndarray, code: np.ndarray) -> None:
-        """Units of one size: a row each, a node for each character and one at the end."""
-        words, shape = self.words, (len(units), size + 1)
-        codes = _codes("".join(units)).reshape(len(units), size)
-        code.reshape(shape)[:, :-1] = codes
-        reach, piece, mass = reach.reshape(*shape, WIDTH), piece.reshape(*shape, WIDTH), mass.reshape(shape)
-        width = min(size, WIDTH)
-        score = np.full((len(units), size, width), -np.inf)
-        keys = np.zeros((len(units), size), dtype=np.uint64)
-        wide = codes.astype(np.uint64)
-        for n in range(1, width + 1):
-            keys = _next_key(keys[:, : size - n + 1], wide[:, n - 1 :])
-            found = words.find(keys.ravel()).reshape(keys.shape)
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        self._room(int((sizes + 1).sum()))
+        begin = np.cumsum(sizes + 1) - (sizes + 1)
+        slabs = [0, *(np.flatnonzero(np.diff(begin // 32_768)) + 1).tolist(), len(units)]
+        for a, b in zip(slabs, slabs[1:], strict=False):
+            if b > a:
+                here = slice(self.size + int(begin[a]), self.size + int(begin[b - 1] + sizes[b - 1] + 1))
+                self._solve(units[a:b], sizes[a:b], self.reach[here], self.piece[here], self.mass[here], self.code[here])
+        self.at.update(zip(units, (self.size + begin).tolist(), strict=True))
+        self.size += int((sizes + 1).sum())
+
+    def _solve(self, units: list[str], sizes: np.ndarray, reach: np.ndarray, piece: np.ndarray, mass: np.ndarray, code: np.ndarray) -> None:
+        """The units' nodes one after another: a node for each character and one at each end. All arrays are views to fill."""
+        words, ends = self.words, np.cumsum(sizes + 1) - 1
+        left = np.repeat(ends, sizes + 1) - np.arange(len(code))  # characters up to the unit's end
+        code[left > 0] = _codes("".join(units))
+        score = np.full((len(code), WIDTH), -np.inf)
+        where, keys, width = np.flatnonzero(left > 0), np.zeros(int(sizes.sum()), dtype=np.uint64), 1
+        for n in range(1, WIDTH + 1):
+            keys = _next_key(keys, code[where + n - 1].astype(np.uint64))
+            found, known = words.find(keys)
             if n == 1:
-                found = np.where((found < 0) & (codes < 0x80), words.byte_ids[np.minimum(codes, 0x7F)], found)
-            piece[:, : size - n + 1, n - 1] = found
+                found = np.where((found < 0) & (code[where] < 0x80), words.byte_ids[np.minimum(code[where], 0x7F)], found)
+            piece[where, n - 1] = found
             weight = words.weights[found]
             if n == 1:
-                weight = np.where(found >= 0, weight, words.log_weight[3] * _utf8_size(codes))
-            score[:, : size - n + 1, n - 1] = weight
-        for i in range(size - 1, -1, -1):
-            most = min(width, size - i)
-            ways = score[:, i, :most] + mass[:, i + 1 : i + 1 + most]
+                weight = np.where(found >= 0, weight, words.log_weight[3] * _utf8_size(code[where]))
+            score[where, n - 1] = weight
+            width = n
+            longer = known & (left[where] > n)
+            where, keys = where[longer], keys[longer]
+            if not len(where):
+                break
+        order = np.argsort(left, kind="stable")
+        bounds = np.searchsorted(left[order], np.arange(int(left.max()) + 2))
+        for d in range(1, len(bounds) - 1):
+            rows, most = order[bounds[d] : bounds[d + 1]], min(d, width)
+            ways = score[rows, :most] + mass[rows[:, None] + np.arange(1, most + 1)]
             top = ways.max(axis=1)
             sums = np.cumsum(np.exp(ways - top[:, None]), axis=1)
-            mass[:, i] = top + np.log(sums[:, -1])
-            reach[:, i, :most] = np.where(sums >= sums[:, -1:], 1.0, sums / sums[:, -1:])
+            mass[rows] = top + np.log(sums[:, -1])
+            reach[rows, :most] = np.where(sums >= sums[:, -1:], 1.0, sums / sums[:, -1:])
 
 
 def _utf8_size(code: np.ndarray) -> np.ndarray:
@@ -433,7 +433,7 @@ def segmentations(lattices: Lattices, keys: list, texts: list[str | None], k: in
 
 def _portions(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of some BATCH bytes of text."""
-    sizes = np.array([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH)) + 1).tolist(), len(batch)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
