@@ -21,7 +21,7 @@ smallest unless the component has no other; an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -147,8 +147,44 @@ def apart(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(prints[i, k] ^ prints[j, k]).astype(np.int16) for k in range(prints.shape[1]))
 
 
-def forest(prints: np.ndarray, home: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, root) that join the rows which home rows reach, one a row at most. prints: a column a seed."""
+def here(prints: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, blocks: int, within: int) -> np.ndarray:
+    """Is this anchor the one at which the pair of home row i and row j is told, of all at which it meets?
+
+    That is the smaller one's home anchor in the first block where both are within reach. Pairs within reach in no
+    block meet by chance, and are told wherever they do.
+    """
+    differ = prints[i, 0] ^ prints[j, 0]
+    first = np.full(len(i), -1)
+    for k in reversed(range(blocks)):
+        at, bits = _blocks(blocks)[k]
+        near = np.bitwise_count((differ >> np.uint64(at)) & np.uint64((1 << bits) - 1)) <= within
+        first[near] = k
+    less = np.zeros(len(i), dtype=bool)
+    for k in reversed(range(prints.shape[1])):
+        less = np.where(prints[i, k] == prints[j, k], less, prints[i, k] < prints[j, k])
+    return (first < 0) | ((first == block) & less)
+
+
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Gives the rows that the pairs (i, j) connect the smallest of their labels; a label is a row that has itself as label."""
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while True:
+            deeper = label[label]
+            if np.array_equal(deeper, label):
+                break
+            label[:] = deeper
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
+
+
+def forest(prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, root) that join the rows which home rows reach, one a row at most. prints: a column a seed.
+
+    told: which of the pairs (i, j), i a home row, count.
+    """
     n = len(prints)
     label = np.arange(n)
     homes = np.flatnonzero(home)
@@ -162,29 +198,22 @@ def forest(prints: np.ndarray, home: np.ndarray, most_bits: int) -> tuple[np.nda
         i, j = i[open_], j[open_]
         close = apart(prints, i, j) <= most_bits
         i, j = i[close], j[close]
-        while len(i):
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, label[i], low)
-            np.minimum.at(label, label[j], low)
-            while True:
-                deeper = label[label]
-                if np.array_equal(deeper, label):
-                    break
-                label = deeper
-            open_ = label[i] != label[j]
-            i, j = i[open_], j[open_]
+        if told:
+            mine = told(i, j)
+            i, j = i[mine], j[mine]
+        _join(label, i, j)
     rows = np.flatnonzero(label != np.arange(n))
     return rows, label[rows]
 
 
-def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal group, at least one of them at home there; groups are sorted."""
+def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal group, at least one of them at home there; groups are sorted. told: as in forest()."""
     first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(groups)))
     large = size > 256
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for a, n in zip(first[large], size[large], strict=True):
-        rows, roots = forest(prints[a : a + n], home[a : a + n], most_bits)
+        rows, roots = forest(prints[a : a + n], home[a : a + n], most_bits, lambda i, j, a=a: told(i + a, j + a))
         out.append((rows + a, roots + a))
     # The small groups together: every home row against its whole group, some two million pairs at a time.
     start, reach = np.repeat(first, size), np.repeat(size, size)
@@ -197,7 +226,9 @@ def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits:
             i = np.repeat(part, n)
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[part], n)
             close = (apart(prints, i, j) <= most_bits) & (i != j)
-            out.append((i[close], j[close]))
+            i, j = i[close], j[close]
+            mine = told(i, j)
+            out.append((i[mine], j[mine]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -251,7 +282,8 @@ def links(nodes: DataFrame, seeds: int, blocks: int, within: int, most_bits: int
         def settle(run: pa.Table) -> pa.RecordBatch:
             g = run.column("g").to_numpy()
             prints = np.stack([run.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-            i, j = compare(g >> 1, prints, (g & 1).astype(bool), most_bits)
+            block = (g >> 23) % blocks
+            i, j = compare(g >> 1, prints, (g & 1).astype(bool), most_bits, lambda i, j: here(prints, i, j, block[i], blocks, within))
             both = np.unique(np.concatenate([prints[np.maximum(i, j)], prints[np.minimum(i, j)]], axis=1), axis=0).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], names=ends)
 
