@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm import op1_quality, op3_decontamination, op4_simhash, op8_sentencepiece, op10_substrings
 from tidelog.llm.common import fold, scratch, table
 
-# Near-duplicates are texts whose five-word shingles are alike to 0.8 or more. Two fingerprints of 64 bits are used
-# together: 25 of 128 bits are a similarity of 0.8 (one bit in five). Nothing is missed whose first fingerprints differ in 11 bits.
-NEAR = {"shingle": 5, "seeds": (42, 43), "most_bits": 25, "search_bits": 11, "blocks": 4}
+# Near-duplicates are texts whose sets of five-word shingles have an exact Jaccard similarity of 0.8 (4 / 5) or more.
+NEAR = {"shingle": 5, "alike": (4, 5)}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,35 @@ def test_pipeline_similarity(spark):
     assert sorted(r[0] for r in kept.collect()) == [1, 3, 4]
 
 
+def jaccard(a, b, shingle=5):
+    cut = lambda t: {tuple(w[i : i + shingle]) for w in [(t or "").lower().split()] if w for i in range(max(1, len(w) - shingle + 1))}
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("limits", [{}, {"most": 3, "most_hashes": 400}])
+def test_pipeline_links_by_exact_jaccard(spark, limits):
+    import corpus_pipeline
+
+    chance = random.Random(12)
+    docs = []
+    for n in [6, 7, 8, 8, 9, 12, 40, 90, 200, 304] * 3:
+        base = words(chance, n).split()
+        docs.append(" ".join(base))
+        for _ in range(4):  # some just above 0.8, some just below
+            copy, to = list(base), max(1, round((n - 4) * chance.uniform(0.1, 0.3)))
+            copy[n - min(to, n) :] = words(chance, min(to, n)).split()
+            docs.append(" ".join(copy))
+            docs.append(" ".join([*base, *words(chance, to).split()]))
+    docs += ["", None, " \n", "a b", "A  b", docs[1] + " " + docs[1], "x y z " * 40, "x y z " * 90] + [words(chance, 6) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    label = brute_components(docs, lambda a, b: jaccard(a, b) >= 0.8)
+    assert 20 < sum(i != x for i, x in enumerate(label)) < 200
+    kept = op4.keep_one(frame, **corpus_pipeline.NEAR, **limits)
+    assert sorted(r[0] for r in kept.collect()) == sorted(set(label)) and kept.columns == frame.columns
+    assert op4.keep_one(frame.where("false"), **corpus_pipeline.NEAR).count() == 0
+
+
 def test_components(spark):
     chance = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(1000 + chance.randrange(40), 1000 + chance.randrange(40)) for _ in range(30)] + [(5000, 5000 + i) for i in range(1, 90)] + [(7, 7), (8, 7), (8, 7)]

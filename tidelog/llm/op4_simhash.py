@@ -36,6 +36,8 @@ from .components import components
 
 NAME = "op4_simhash"
 MOST = 20_000
+MOST_HASHES = 2_000_000  # of the sets that meet in one task, in each part of a component
+BITS = 40  # of 128 in which sets may differ to be compared exactly; a Jaccard of 0.8 makes 19 on average, deviation 4
 _CHECKS = 15  # bits of a block under the Hamming code
 
 
@@ -320,6 +322,259 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, seeds: tuple[int, ..
     return prints.join(named, names)
 
 
+# ---------------------------------------------------------------- exact similarity
+
+
+def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
+    """For each text the sorted XXH64 hashes (seed 42) of its distinct shingles; none if it has no words."""
+    out = []
+    for text in texts:
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        if len(words) <= shingle:
+            grams = {b" ".join(words)} if words else set()
+        else:
+            grams = {b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)), strict=False)}
+        out.append(np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), dtype=np.uint64, count=len(grams))))
+    return out
+
+
+def set_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """Two fingerprints of each set, of its hashes and of the same mixed once more."""
+    out = np.zeros((len(sets), 2), dtype=np.uint64)
+    rows = [i for i, x in enumerate(sets) if len(x)]
+    for a in range(0, len(rows), 500):
+        part = rows[a : a + 500]
+        hashes = np.concatenate([sets[i] for i in part])
+        sizes = np.array([len(sets[i]) for i in part])
+        starts = np.cumsum(sizes) - sizes
+        out[part, 0] = _majority(hashes, starts)
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[part, 1] = _majority(hashes ^ (hashes >> np.uint64(31)), starts)
+    return out
+
+
+def rare_first(hashes: np.ndarray, alike: tuple[int, int], common: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes, `common` ones last, so many that two sets of the given Jaccard have one of these in common."""
+    n = len(hashes)
+    if n and len(common):
+        late = np.isin(hashes, common)
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[: n - -(-alike[0] * n // alike[1]) + 1] if n else hashes
+
+
+def linked(sets: list[np.ndarray], prints: np.ndarray, alike: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, root), one a row at most, that join the sets whose Jaccard is alike[0] / alike[1] or more.
+
+    A pair that is joined by others already is not compared.
+    """
+    n = len(sets)
+    label, size = np.arange(n), np.array([len(x) for x in sets], dtype=np.int64)
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[label[j] != label[i]]
+        j = j[alike[1] * np.minimum(size[i], size[j]) >= alike[0] * np.maximum(size[i], size[j])]
+        j = j[apart(prints, np.full(len(j), i), j) <= BITS]
+        if not len(j) or not size[i]:
+            continue
+        every = np.concatenate([sets[x] for x in j])
+        spot = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+        common = np.add.reduceat((sets[i][spot] == every).astype(np.int64), np.cumsum(size[j]) - size[j])
+        j = j[alike[1] * common >= alike[0] * (size[i] + size[j] - common)]
+        _join(label, np.full(len(j), i), j)
+    rows = np.flatnonzero(label != np.arange(n))
+    return rows, label[rows]
+
+
+def _spread(row: np.ndarray, mine: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, pair): each row goes to every pair of parts of its group that has its own part."""
+    row, mine, parts = (np.repeat(x, parts) for x in (row, mine, parts)) if len(row) else (row, mine, parts)
+    each = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+    other = np.arange(len(row)) - np.repeat(each, np.diff(np.append(each, len(row))))
+    return row, np.minimum(mine, other) * parts + np.maximum(mine, other)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The sorted batches cut into tables of whole groups, of equal keys."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch):
+            rest.append(batch)
+            at = 0
+            change = np.zeros(len(batch) - 1, dtype=bool)
+            for k in keys:
+                x = batch.column(k).to_numpy()
+                change |= x[1:] != x[:-1]
+            if change.any():
+                at = int(np.flatnonzero(change)[-1]) + 1
+                yield pa.Table.from_batches([*rest[:-1], batch.slice(0, at)])
+                rest = [batch.slice(at)]
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _groups(table_: pa.Table, *keys: str) -> Iterator[tuple[int, int]]:
+    columns = [table_.column(k).to_numpy() for k in keys]
+    change = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns]))
+    first = np.flatnonzero(change)
+    yield from zip(first.tolist(), np.append(first[1:], len(table_)).tolist(), strict=True)
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
+
+
+def _part(node: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def candidates(nodes: DataFrame, alike: tuple[int, int], most: int = MOST) -> DataFrame:
+    """Pairs (a, b) of nodes, enough to join all that share one of their first hashes and differ in BITS bits of 128 at most."""
+    spark = nodes.sparkSession
+
+    def firsts(batch: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        sets = _sets(batch.column("shingles"))
+        keys = [rare_first(x, alike, common) for x in sets]
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in keys])
+        return row, np.concatenate(keys).view(np.int64), sets
+
+    def hot(common: np.ndarray) -> dict[int, int]:
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, len(whole), 1_000):
+                    kind, count = np.unique(firsts(whole.slice(at, 1_000), common)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(count)], names=["key", "rows"])
+
+        counts = nodes.select("shingles").mapInArrow(tally, "key bigint, rows bigint").groupBy("key").agg(F.sum("rows").alias("rows"))
+        # As in links(): the list is capped for the driver, and hashes past the cap stay whole.
+        return {r["key"]: min(2_000, -(-r["rows"] // most)) for r in counts.where(F.col("rows") > most).orderBy(F.desc("rows")).limit(50_000).collect()}
+
+    first = hot(np.zeros(0, np.uint64))
+    common = np.array(sorted(first), dtype=np.int64).view(np.uint64)
+    found = hot(common) if first else {}
+    hot_keys = np.array(sorted(found), dtype=np.int64)
+    hot_parts = np.array([found[k] for k in sorted(found)], dtype=np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1_000):
+                batch = whole.slice(at, 1_000)
+                row, key, sets = firsts(batch, common)
+                prints, node = set_prints(sets).view(np.int64), batch.column("node").to_numpy()
+                pair = np.zeros(len(row), dtype=np.int64)
+                if len(hot_keys):
+                    spot = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                    parts = np.where(hot_keys[spot] == key, hot_parts[spot], 1)
+                    entry, pair = _spread(np.arange(len(row)), _part(node[row], parts), parts)
+                    row, key = row[entry], key[entry]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, pair, node[row], prints[row, 0], prints[row, 1])], names=["key", "pair", "node", "f0", "f1"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, "key", "pair"):
+            columns = [run.column(x).to_numpy() for x in ("key", "pair", "node", "f0", "f1")]
+            same = np.append(False, (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1]))
+            some = same | np.append(same[1:], False)  # most hashes come once
+            key, pair, node, f0, f1 = (x[some] for x in columns)
+            if not len(node):
+                continue
+            prints = np.stack([f0, f1], axis=1).view(np.uint64)
+            opens = np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))
+            i, j = compare(np.cumsum(opens), prints, np.ones(len(node), dtype=bool), BITS, lambda i, j: i > j)
+            both = np.unique(np.stack([node[i], node[j]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], names=["a", "b"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = nodes.select("node", "shingles").mapInArrow(deal, "key bigint, pair bigint, node bigint, f0 bigint, f1 bigint")
+    return dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def confirmed(nodes: DataFrame, roots: DataFrame, alike: tuple[int, int], most_hashes: int = MOST_HASHES) -> DataFrame:
+    """Pairs (a, b) of nodes of one component whose exact Jaccard is high enough, enough of them to join all that such pairs connect.
+
+    roots: rows (a, b) of components(). Only sets of these are sent, which a map of 2^26 bits tells beforehand.
+    """
+    spark = nodes.sparkSession
+    rooted = cut(roots.unionAll(roots.select(F.col("b").alias("a"), "b").distinct()))
+    slot = F.pmod("a", F.lit(1 << 26))
+    maps = rooted.groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot % (1 << 15)).alias("bits"))
+    held = np.zeros((1 << 11, 1 << 12), dtype=np.uint8)
+    for r in maps.collect():
+        held[r["k"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    held = held.reshape(-1)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("node").to_numpy() % (1 << 26)
+            yield batch.filter(pa.array((held[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)))
+
+    schema = "node bigint, size bigint, shingles binary"
+    sent = nodes.select("node", "size", "shingles").mapInArrow(known, schema).join(rooted, F.col("node") == F.col("a")).select("b", "node", "size", "shingles")
+    weights = nodes.select("node", "size").join(rooted, F.col("node") == F.col("a")).groupBy("b").agg(F.sum("size").alias("hashes"))
+    # Components too heavy for one task, at most as many as one for each most_hashes; capped as in links().
+    found = {r["b"]: min(2_000, -(-r["hashes"] // most_hashes)) for r in weights.where(F.col("hashes") > most_hashes).orderBy(F.desc("hashes")).limit(50_000).collect()}
+    hot_keys = np.array(sorted(found), dtype=np.int64)
+    hot_parts = np.array([found[k] for k in sorted(found)], dtype=np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, key = batch.column("node").to_numpy(), batch.column("b").to_numpy()
+            row, pair = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
+            if len(hot_keys) and len(node):
+                spot = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                parts = np.where(hot_keys[spot] == key, hot_parts[spot], 1)
+                row, pair = _spread(row, _part(node, parts), parts)
+            for at in range(0, len(row), 500):
+                some = row[at : at + 500]
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(pair[at : at + 500]), pa.array(node[some]), batch.column("shingles").take(pa.array(some))], names=["b", "pair", "node", "shingles"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, "b", "pair"):
+            node, links_ = run.column("node").to_numpy(), []
+            for a, z in _groups(run, "b", "pair"):
+                sets = _sets(run.column("shingles").slice(a, z - a))
+                rows, other = linked(sets, set_prints(sets), alike)
+                links_.append((node[rows + a], node[other + a]))
+            ends = [np.concatenate(x) for x in zip(*links_, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = sent.mapInArrow(deal, "b bigint, pair bigint, node bigint, shingles binary")
+    return dealt.repartition(parts, "b", "pair").sortWithinPartitions("b", "pair").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def alike_documents(documents: DataFrame, shingle: int, alike: tuple[int, int], most: int = MOST, most_hashes: int = MOST_HASHES) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable over links) of every document.
+
+    Two texts link if the exact Jaccard of their sets of shingles is alike[0] / alike[1] or more. Fingerprints only sort out:
+    a pair has to share one of its first hashes, which all pairs so alike do, and to differ in BITS of 128 bits at most.
+    Texts without words are alike to each other and to no others.
+    """
+    key = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(full: bool) -> Callable:
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, len(whole), 1_000):
+                    batch = whole.slice(at, 1_000)
+                    found = [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist(), shingle)]
+                    node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in found], dtype=np.uint64).view(np.int64))
+                    if full:
+                        yield pa.RecordBatch.from_arrays([node, pa.array([len(x) // 8 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["node", "size", "shingles"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([batch.column(0), node], names=["doc_id", "node"])
+
+        return sets
+
+    texts = documents.select("doc_id", "text")
+    named = cut(texts.mapInArrow(run(False), f"doc_id {key}, node bigint"))
+    nodes = cut(texts.mapInArrow(run(True), "node bigint, size bigint, shingles binary").groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")))
+    roots = components(confirmed(nodes, components(candidates(nodes, alike, most)), alike, most_hashes))
+    least = named.groupBy("node").agg(F.min("doc_id").alias("least_id"))
+    rooted = cut(least.join(roots, least["node"] == roots["a"], "left").select("node", "least_id", F.coalesce("b", "node").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return named.join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -328,9 +583,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest doc_id, with all its columns.
 
+    With the option `alike` they are those of alike_documents(), else those of near_duplicates().
     Rows that repeat a doc_id are one document: they stay or go together. Rows without a doc_id stay.
     """
-    found = near_duplicates(documents, **options)
+    found = (alike_documents if "alike" in options else near_duplicates)(documents, **options)
     (name,) = free(documents, "copy_id")
     copies = found.where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
     return documents.join(copies, F.col("doc_id") == F.col(name), "left_anti")
