@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op8_sentencepiece.encoded(docs)
+    return op8_sentencepiece.segmented(docs)
 
 
 STAGES = [

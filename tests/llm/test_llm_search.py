@@ -342,6 +342,21 @@ def test_cache_doesnt_show(monkeypatch):
             assert [r[0].tolist() for r in rows] == [r[0].tolist() for r in large[at + d]]
 
 
+def test_encoded_documents_have_all_samples(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some text, here"), (2, ""), (3, None), (4, "wörds 世界 🙂 \t\n" * 50), (5, "▁ as it is")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("segmentations", F.lit("clash"))
+    out = {r["doc_id"]: r for r in corpus_pipeline.sentencepiece(spark, docs, SF).collect()}
+    want = collections.defaultdict(list)
+    for r in sorted(op8.sampled(docs).collect(), key=lambda r: r["rank"]):
+        want[r["doc_id"]].append((r["ids"], r["log_prob"], r["perturbed"], r["inclusion"], r["decoded"] == (r["text"] or "").replace("▁", " ")))
+    assert set(out) == set(want) and {d: len(x) for d, x in want.items()} == {1: 2, 2: 1, 3: 1, 4: 2, 5: 2}
+    for d, r in out.items():
+        assert [tuple(x) for x in r["segmentations"]] == want[d] and all(x["round_trip"] for x in r["segmentations"])
+        assert r["piece_ids"] == want[d][0][0]
+
+
 # ---------------------------------------------------------------- op10
 
 

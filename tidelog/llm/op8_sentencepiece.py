@@ -492,6 +492,35 @@ def encoded(documents: DataFrame, key: str = "doc_id", path: str = VOCABULARY) -
     return frame.mapInArrow(run, StructType(list(frame.schema.fields)).add("piece_ids", ArrayType(IntegerType())).add("inclusion", "double"))
 
 
+_SEGMENTATION = StructType().add("ids", ArrayType(IntegerType())).add("log_prob", "double").add("perturbed", "double").add("inclusion", "double").add("round_trip", "boolean")
+
+
+def segmented(documents: DataFrame, key: str = "doc_id", path: str = VOCABULARY, k: int = SAMPLES) -> DataFrame:
+    """The documents with `segmentations`, their k sampled ones by falling value, seeded by the key, each decoded again
+    (round_trip: is that the text), and with piece_ids and inclusion, those of the first one.
+    """
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("round_trip", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, lattices = vocabulary(path), _kept(path)
+        for whole in batches:
+            for batch in _portions(whole, "text"):
+                at = batch.schema.get_field_index
+                texts = batch.column(at("text")).to_pylist()
+                found = segmentations(lattices, batch.column(at(key)).to_pylist(), texts, k)
+                flat = [(d, *row) for d, rows in enumerate(found) for row in rows]
+                good = [words.decode(ids) == (texts[d] or "").replace("▁", " ") for d, ids, *_ in flat]
+                numbers = [pa.array([x[i] for x in flat], pa.float64()) for i in (2, 3, 4)]
+                each = pa.StructArray.from_arrays([pa.array([x[1] for x in flat], pa.list_(pa.int32())), *numbers, pa.array(good, pa.bool_())], fields=list(kind))
+                several = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32()), each)
+                columns = [*batch.columns, pa.array([f[0][0] for f in found], pa.list_(pa.int32())), pa.array([f[0][3] for f in found], pa.float64()), several]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "piece_ids", "inclusion", "segmentations"])
+
+    frame = documents.drop("piece_ids", "inclusion", "segmentations")
+    schema = StructType(list(frame.schema.fields)).add("piece_ids", ArrayType(IntegerType())).add("inclusion", "double").add("segmentations", ArrayType(_SEGMENTATION))
+    return frame.mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return documents.mapInArrow(_rows("doc_id", SAMPLES, VOCABULARY, False), f"doc_id bigint, {_COLUMNS}, ids_sha256 string, round_trip boolean")
