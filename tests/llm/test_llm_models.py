@@ -12,7 +12,7 @@ from tidelog.llm import op2_language as op2
 from tidelog.llm import op6_warc as op6
 from tidelog.llm import op7_sharding as op7
 from tidelog.llm import op9_token_counts as op9
-from tidelog.llm.common import fold, free
+from tidelog.llm.common import fold, free, labelled_sample
 
 SF = "/root/testdata/sf0.01"
 CLASHING = "doc_id bigint, text string, score string, hash int, key string, slot int, w string"
@@ -112,6 +112,12 @@ def test_language_odd_rows(spark):
     assert op2.identified(docs.where("false"), model).count() == 0
 
 
+def test_rare_labels_stay_in_the_sample(spark):
+    docs = spark.range(30_040).selectExpr("id as doc_id", "cast(id as string) as text", "case when id < 40 then 'rare' else concat('l', id % 6) end as lang")
+    found = collections.Counter(r[2] for r in labelled_sample(docs.select("doc_id", "lang"), docs, "lang", 70, 400))
+    assert sum(found.values()) == 400 and found["rare"] > 25 and all(40 <= found[f"l{i}"] <= 85 for i in range(6))
+
+
 def test_folds(spark):
     import zlib
 

@@ -64,8 +64,8 @@ def labelled_sample(labels: DataFrame, documents: DataFrame, label: str, per_cla
     """Driver rows (text, label) to fit a classifier on: some per_class of each label, `most` at most in all.
 
     labels: doc_id and `label`, whose values are few. A class of n rows gives those whose key hash falls into the
-    first per_class / n of the range, so the same rows whatever the partitions. Only ids are gathered before the
-    texts of the chosen ones are read.
+    first per_class / n of the range, so the same rows whatever the partitions. Past `most` all labels lose in
+    proportion. Only ids are gathered before the texts of the chosen ones are read.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label).distinct()
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1_000).collect()}
@@ -73,7 +73,7 @@ def labelled_sample(labels: DataFrame, documents: DataFrame, label: str, per_cla
         return []
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_class / n))])[F.col(label)]
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), F.lit(1 << 30))
-    chosen = rows.where(rank / float(1 << 30) < share).orderBy(rank, "doc_id", label).limit(most)
+    chosen = rows.where(rank / float(1 << 30) < share).orderBy(rank / share, "doc_id", label).limit(most)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", label)  # `most` bounds the broadcast side
     return sorted(found.collect(), key=lambda r: (str(r[0]), r[1], str(r[2])))
