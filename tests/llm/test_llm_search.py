@@ -195,6 +195,28 @@ def test_pipeline_links_by_exact_jaccard(spark, limits):
     assert op4.keep_one(frame.where("false"), **corpus_pipeline.NEAR).count() == 0
 
 
+def test_every_pair_at_the_bound_links(spark):
+    import corpus_pipeline
+
+    chance, rows = random.Random(21), []
+    for i in range(200):
+        base = words(chance, 49).split()  # 45 shingles, five of them changed: 40 of 50
+        copy = [*base[:-5], *words(chance, 5).split()]
+        assert jaccard(" ".join(base), " ".join(copy)) >= 0.8
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
+    assert sorted(r[0] for r in kept.collect()) == list(range(0, 400, 2))
+
+
+def test_short_texts_dont_link_to_empty_ones(spark):
+    import corpus_pipeline
+
+    chance = random.Random(22)
+    rows = [(0, ""), (1, None)] + [(i, words(chance, 6)) for i in range(2, 202)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
+    assert sorted(r[0] for r in kept.collect()) == [0, *range(2, 202)]
+
+
 def test_components(spark):
     chance = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(1000 + chance.randrange(40), 1000 + chance.randrange(40)) for _ in range(30)] + [(5000, 5000 + i) for i in range(1, 90)] + [(7, 7), (8, 7), (8, 7)]
