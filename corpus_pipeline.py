@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import op1_quality, op3_decontamination, op4_simhash, op8_sentencepiece, op10_substrings
+from tidelog.llm import op1_quality, op3_decontamination, op4_alike, op8_sentencepiece, op10_substrings
 from tidelog.llm.common import fold, scratch, table
 
-# Near-duplicates are texts whose sets of five-word shingles have an exact Jaccard similarity of 0.8 (4 / 5) or more.
+# Near-duplicates are texts whose sets of five-word shingles have an exact cosine similarity of 0.8 (4 / 5) or more.
 NEAR = {"shingle": 5, "alike": (4, 5)}
 
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op4_simhash.keep_one(docs, **NEAR)
+    return op4_alike.keep_one(docs, **NEAR)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import op3_decontamination as op3
+from tidelog.llm import op4_alike as alike
 from tidelog.llm import op4_simhash as op4
 from tidelog.llm import op5_neighbours as op5
 from tidelog.llm import op8_sentencepiece as op8
@@ -107,10 +108,11 @@ def test_fingerprints():
 def test_every_close_pair_shares_an_anchor():
     chance = np.random.default_rng(5)
     for blocks, within, bits in ((3, 1, 4), (3, 1, 5), (4, 2, 11)):
+        cover = op4.whole_cover(blocks)
         base = chance.integers(0, 1 << 63, 200, dtype=np.uint64)
         flips = np.array([sum(1 << int(b) for b in chance.choice(64, bits, replace=False)) for _ in base], dtype=np.uint64)
-        row_a, key_a, home_a = op4.anchors(base, blocks, within)
-        row_b, key_b, _ = op4.anchors(base ^ flips, blocks, within)
+        row_a, key_a, home_a = op4.anchors(base[:, None], cover, within)
+        row_b, key_b, _ = op4.anchors((base ^ flips)[:, None], cover, within)
         for i in range(200):
             assert set(key_a[(row_a == i) & home_a]) & set(key_b[row_b == i])
         assert (np.bincount(row_a[home_a]) == blocks).all()
@@ -153,27 +155,27 @@ def test_dense_group_links_linearly():
     assert len(rows) == len(near) - 1 and set(roots) == {0}
 
 
-def test_pipeline_similarity(spark):
-    chance = random.Random(3)
-    base = words(chance, 300).split()
-    copy = list(base)
-    for i in (40, 150, 260):  # fifteen of some three hundred shingles
-        copy[i] = "other"
-    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, words(chance, 300)), (4, words(chance, 300))]
-    import corpus_pipeline
+def cosine(a, b, shingle=5):
+    a, b = shingles(a, shingle), shingles(b, shingle)
+    return len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else float(a == b)
+
 
-    kept = op4.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), **corpus_pipeline.NEAR)
-    assert sorted(r[0] for r in kept.collect()) == [1, 3, 4]
+def shingles(text, shingle=5):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
 
 
-def jaccard(a, b, shingle=5):
-    cut = lambda t: {tuple(w[i : i + shingle]) for w in [(t or "").lower().split()] if w for i in range(max(1, len(w) - shingle + 1))}
-    a, b = cut(a), cut(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
+def test_majority():
+    chance = np.random.default_rng(4)
+    sizes = [1, 2, 3, 14, 15, 16, 29, 30, 31, 300]
+    hashes = chance.integers(0, 1 << 64, sum(sizes), dtype=np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    for got, a, n in zip(op4.majority(hashes, starts), starts, sizes, strict=True):
+        assert int(got) == sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in hashes[a : a + n]) * 2 > n)
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 3, "most_hashes": 400}])
-def test_pipeline_links_by_exact_jaccard(spark, limits):
+@pytest.mark.parametrize("limits", [{}, {"most": 3, "most_hashes": 3_000}])
+def test_pipeline_links_by_exact_similarity(spark, limits):
     import corpus_pipeline
 
     chance = random.Random(12)
@@ -181,40 +183,55 @@ def test_pipeline_links_by_exact_jaccard(spark, limits):
     for n in [6, 7, 8, 8, 9, 12, 40, 90, 200, 304] * 3:
         base = words(chance, n).split()
         docs.append(" ".join(base))
-        for _ in range(4):  # some just above 0.8, some just below
+        for _ in range(4):  # some just above the bound, some just below
             copy, to = list(base), max(1, round((n - 4) * chance.uniform(0.1, 0.3)))
             copy[n - min(to, n) :] = words(chance, min(to, n)).split()
             docs.append(" ".join(copy))
             docs.append(" ".join([*base, *words(chance, to).split()]))
-    docs += ["", None, " \n", "a b", "A  b", docs[1] + " " + docs[1], "x y z " * 40, "x y z " * 90] + [words(chance, 6) for _ in range(300)]
-    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
-    label = brute_components(docs, lambda a, b: jaccard(a, b) >= 0.8)
-    assert 20 < sum(i != x for i, x in enumerate(label)) < 200
-    kept = op4.keep_one(frame, **corpus_pipeline.NEAR, **limits)
+    docs += ["", None, " \n", "a b", "A,  b", docs[1] + " " + docs[1], "x y z " * 40, "x y z " * 90, "!!", " !!", "??"] + [words(chance, 6) for _ in range(300)]
+    frame = spark.createDataFrame([(i, d, "c", i) for i, d in enumerate(docs)], "doc_id bigint, text string, node string, f0 int")
+    near = lambda a, b: cosine(a, b) >= 0.8 - 1e-12 if shingles(a) else not shingles(b) and (a or "").strip() == (b or "").strip()
+    label = brute_components(docs, near)
+    assert 20 < sum(i != x for i, x in enumerate(label)) < 250
+    kept = alike.keep_one(frame, **corpus_pipeline.NEAR, **limits)
     assert sorted(r[0] for r in kept.collect()) == sorted(set(label)) and kept.columns == frame.columns
-    assert op4.keep_one(frame.where("false"), **corpus_pipeline.NEAR).count() == 0
-
-
-def test_every_pair_at_the_bound_links(spark):
-    import corpus_pipeline
-
-    chance, rows = random.Random(21), []
-    for i in range(200):
-        base = words(chance, 49).split()  # 45 shingles, five of them changed: 40 of 50
-        copy = [*base[:-5], *words(chance, 5).split()]
-        assert jaccard(" ".join(base), " ".join(copy)) >= 0.8
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
-    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
-    assert sorted(r[0] for r in kept.collect()) == list(range(0, 400, 2))
-
-
-def test_short_texts_dont_link_to_empty_ones(spark):
-    import corpus_pipeline
-
-    chance = random.Random(22)
-    rows = [(0, ""), (1, None)] + [(i, words(chance, 6)) for i in range(2, 202)]
-    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
-    assert sorted(r[0] for r in kept.collect()) == [0, *range(2, 202)]
+    assert alike.keep_one(frame.where("false"), **corpus_pipeline.NEAR).count() == 0
+    more = frame.unionAll(frame.where("doc_id < 5")).unionAll(frame.where("doc_id in (1, 2)").withColumn("doc_id", F.lit(None).cast("bigint")))
+    kept = alike.keep_one(more, **corpus_pipeline.NEAR)
+    assert collections.Counter(r[0] for r in kept.collect()) == collections.Counter([*set(label), *[x for x in set(label) if x < 5], None, None])
+
+
+def test_search_at_the_bound():
+    """Pairs of the least similarity that links: the share that meets at an anchor within the bounds on bits."""
+    chance, found, n = np.random.default_rng(21), 0, 1_500
+    cover = op4.perfect_cover(alike.WORDS)
+    sets = []
+    for _ in range(n):  # 160 of 200 shingles in common: a cosine of 0.8
+        every = chance.integers(0, 1 << 63, 240, dtype=np.uint64)
+        sets += [np.sort(every[:200]), np.sort(every[40:])]
+    prints = alike.prints_of(sets)
+    one, other = prints[0::2], prints[1::2]
+    near = op4.apart(prints, np.arange(0, 2 * n, 2), np.arange(1, 2 * n, 2)) <= alike.BITS
+    met = np.zeros(n, dtype=bool)
+    for a, b in ((one, other), (other, one)):
+        row_a, key_a, home = op4.anchors(a, cover, 1)
+        row_b, key_b, _ = op4.anchors(b, cover, 1)
+        lead = np.array([(x.word + 1) % alike.WORDS for x in cover])
+        held = set(zip(row_b.tolist(), key_b.tolist(), strict=True))
+        for r, k in zip(row_a[home].tolist(), key_a[home].tolist(), strict=True):
+            w = lead[k & 31]
+            if (r, k) in held and int(a[r, w] ^ b[r, w]).bit_count() <= alike.LEAD_BITS:
+                met[r] = True
+    found = (near & met).mean()
+    assert found > 0.99, found
+
+
+def test_dense_component_links_linearly():
+    chance = np.random.default_rng(5)
+    base = chance.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.append(np.delete(base, chance.integers(100)), chance.integers(0, 1 << 63, 3, dtype=np.uint64))) for _ in range(300)]
+    rows, roots = alike.linked(sets, alike.prints_of(sets), (4, 5))
+    assert len(rows) == 299 and set(roots) == {0}
 
 
 def test_components(spark):

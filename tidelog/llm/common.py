@@ -54,6 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that are broadcast at most; with more of them, rows are joined by shuffle.
+MOST_IDS = 200_000
+
+
+def without(documents: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The documents whose key is not among the ids (one column), with all their columns. Null keys go if null is among the ids.
+
+    The ids are written and counted first: up to MOST_IDS they are broadcast, so that texts are not shuffled.
+    """
+    (name,) = free(documents, "gone_id")
+    gone = cut(ids.toDF(name).distinct())
+    side = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
+    return documents.join(side, F.col(f"`{key}`").eqNullSafe(F.col(name)), "left_anti")
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most `rows` rows, those with the smallest key hashes; only the keys are sorted."""
     chosen = df.select(key).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(rows).distinct()

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, free, table
+from .common import UPPER, table, without
 
 NAME = "op3_decontamination"
 SPAN = 10
@@ -133,9 +133,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
     found = decontaminate(documents.select("doc_id", "text"), benchmark, **options)
-    (name,) = free(documents, "bad_id")
-    bad = found.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    return without(documents, "doc_id", found.where("contaminated").select("doc_id"))
 
 
 _LOWER = f"translate(text, '{UPPER}', '{UPPER.lower()}')"

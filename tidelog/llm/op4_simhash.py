@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +32,45 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free, table
+from .common import cut, table, without
 from .components import components
 
 NAME = "op4_simhash"
 MOST = 20_000
-MOST_HASHES = 2_000_000  # of the sets that meet in one task, in each part of a component
-BITS = 40  # of 128 in which sets may differ to be compared exactly; a Jaccard of 0.8 makes 19 on average, deviation 4
 _CHECKS = 15  # bits of a block under the Hamming code
 
 
 # ---------------------------------------------------------------- fingerprints
 
 
-def _majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run of hashes that begins at one of `starts`, the bits that over half of it have."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+def _adder(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of three words the sum's bits and the carries, at each bit."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
+
+
+def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of hashes that begins at one of `starts`, the bits that over half of it have.
+
+    Fifteen hashes at a time are added up as words, to four words of bits of the sums; only these are spread out to counters.
+    """
     sizes = np.diff(np.append(starts, len(hashes)))
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    groups = -(-sizes // 15)
+    first = np.cumsum(groups) - groups
+    rows = np.zeros((int(groups.sum()) * 15,), dtype=np.uint64)
+    rows[np.arange(len(hashes)) + np.repeat(first * 15 - starts, sizes)] = hashes
+    column = np.ascontiguousarray(rows.reshape(-1, 15).T)
+    planes, left = [], list(column)
+    while len(left) > 1:  # 15 words of weight 1, 7 of weight 2, 3 of weight 4, 1 of weight 8
+        total, carried = left[0], []
+        for k in range(1, len(left), 2):
+            total, carry = _adder(total, left[k], left[k + 1])
+            carried.append(carry)
+        planes.append(total)
+        left = carried
+    planes += left
+    counts = sum(np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64) << np.uint8(k) for k, x in enumerate(planes))
+    ones = np.add.reduceat(counts, first, axis=0, dtype=np.int32)
     return np.packbits(ones * 2 > sizes[:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
@@ -63,7 +85,7 @@ def fingerprints(texts: list[str | None], shingle: int, seeds: tuple[int, ...])
         if rows:
             for k, seed in enumerate(seeds):
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=len(grams))
-                out[rows, k] = _majority(hashes, np.array(starts))
+                out[rows, k] = majority(hashes, np.array(starts))
             rows.clear(), starts.clear(), grams.clear()
 
     for row, text in enumerate(texts):
@@ -98,10 +120,23 @@ def fingerprinted(documents: DataFrame, shingle: int, seeds: tuple[int, ...]) ->
 # ---------------------------------------------------------------- anchors
 
 
-def _blocks(blocks: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each block."""
+class Block(NamedTuple):
+    """A run of bits of one of the fingerprints."""
+
+    word: int
+    first: int
+    bits: int
+
+
+def whole_cover(blocks: int) -> tuple[Block, ...]:
+    """The first fingerprint cut into blocks."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return tuple(Block(0, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def perfect_cover(words: int) -> tuple[Block, ...]:
+    """Four blocks of 15 bits of each fingerprint, so that the anchors are the words of the perfect code alone."""
+    return tuple(Block(w, 16 * k, _CHECKS) for w in range(words) for k in range(4))
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -121,18 +156,18 @@ def _patterns(bits: int, radius: int) -> list[np.ndarray]:
     return [flips[marks == s] for s in range(16)]
 
 
-def anchors(prints: np.ndarray, blocks: int, within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor key, is it the row's home anchor) of every replica of the fingerprints."""
+def anchors(prints: np.ndarray, cover: tuple[Block, ...], within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor key, is it the row's home anchor) of every replica of the fingerprints, a column a word. Keys are below 2^27."""
+    if min(x.bits for x in cover) < _CHECKS or max(x.bits for x in cover) > 22 or len(cover) > 32:
+        raise ValueError("blocks have 15 to 22 bits, and there are 32 at most")
     parts = []
-    for k, (first, bits) in enumerate(_blocks(blocks)):
-        if bits < _CHECKS:
-            raise ValueError("at most four blocks")
-        block = (prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)
-        marks = _syndrome(block)
-        for s, flips in enumerate(_patterns(bits, 1 + within)):
+    for k, block in enumerate(cover):
+        value = (prints[:, block.word] >> np.uint64(block.first)) & np.uint64((1 << block.bits) - 1)
+        marks = _syndrome(value)
+        for s, flips in enumerate(_patterns(block.bits, 1 + within)):
             rows = np.flatnonzero(marks == s)
             if len(rows):
-                keys = (block[rows, None] ^ flips[None, :]).astype(np.int64) * blocks + k
+                keys = (value[rows, None] ^ flips[None, :]).astype(np.int64) << 5 | k
                 home = np.zeros(keys.shape, dtype=bool)
                 home[:, 0] = True
                 parts.append((np.repeat(rows, len(flips)), keys.ravel(), home.ravel()))
@@ -149,25 +184,23 @@ def apart(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(prints[i, k] ^ prints[j, k]).astype(np.int16) for k in range(prints.shape[1]))
 
 
-def here(prints: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, blocks: int, within: int) -> np.ndarray:
+def here(prints: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, cover: tuple[Block, ...], within: int) -> np.ndarray:
     """Is this anchor the one at which the pair of home row i and row j is told, of all at which it meets?
 
     That is the smaller one's home anchor in the first block where both are within reach. Pairs within reach in no
     block meet by chance, and are told wherever they do.
     """
-    differ = prints[i, 0] ^ prints[j, 0]
     first = np.full(len(i), -1)
-    for k in reversed(range(blocks)):
-        at, bits = _blocks(blocks)[k]
-        near = np.bitwise_count((differ >> np.uint64(at)) & np.uint64((1 << bits) - 1)) <= within
-        first[near] = k
+    for k in reversed(range(len(cover))):
+        differ = (prints[i, cover[k].word] ^ prints[j, cover[k].word]) >> np.uint64(cover[k].first)
+        first[np.bitwise_count(differ & np.uint64((1 << cover[k].bits) - 1)) <= within] = k
     less = np.zeros(len(i), dtype=bool)
     for k in reversed(range(prints.shape[1])):
         less = np.where(prints[i, k] == prints[j, k], less, prints[i, k] < prints[j, k])
     return (first < 0) | ((first == block) & less)
 
 
-def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+def join_up(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Gives the rows that the pairs (i, j) connect the smallest of their labels; a label is a row that has itself as label."""
     while len(i):
         low = np.minimum(label[i], label[j])
@@ -182,19 +215,19 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         i, j = i[open_], j[open_]
 
 
-def forest(prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable | None = None, lead: np.ndarray | None = None, lead_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, root) that join the rows which home rows reach, one a row at most. prints: a column a seed.
 
-    told: which of the pairs (i, j), i a home row, count.
+    told: which of the pairs (i, j), i a home row, count. lead: one word of each row, in which pairs differ in lead_bits at most.
     """
     n = len(prints)
     label = np.arange(n)
     homes = np.flatnonzero(home)
-    lead = np.ascontiguousarray(prints[:, 0])
+    lead = np.ascontiguousarray(prints[:, 0]) if lead is None else lead
     step = max(1, 1_000_000 // max(1, n))
     for at in range(0, len(homes), step):
         some = homes[at : at + step]
-        row, j = np.nonzero(np.bitwise_count(lead[some, None] ^ lead[None, :]) <= min(most_bits, 64))
+        row, j = np.nonzero(np.bitwise_count(lead[some, None] ^ lead[None, :]) <= min(most_bits, lead_bits))
         i = some[row]
         open_ = label[i] != label[j]
         i, j = i[open_], j[open_]
@@ -203,19 +236,19 @@ def forest(prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable
         if told:
             mine = told(i, j)
             i, j = i[mine], j[mine]
-        _join(label, i, j)
+        join_up(label, i, j)
     rows = np.flatnonzero(label != np.arange(n))
     return rows, label[rows]
 
 
-def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal group, at least one of them at home there; groups are sorted. told: as in forest()."""
+def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable, lead: np.ndarray, lead_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal group, at least one of them at home there; groups are sorted. told, lead: as in forest()."""
     first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(groups)))
     large = size > 256
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for a, n in zip(first[large], size[large], strict=True):
-        rows, roots = forest(prints[a : a + n], home[a : a + n], most_bits, lambda i, j, a=a: told(i + a, j + a))
+        rows, roots = forest(prints[a : a + n], home[a : a + n], most_bits, lambda i, j, a=a: told(i + a, j + a), lead[a : a + n], lead_bits)
         out.append((rows + a, roots + a))
     # The small groups together: every home row against its whole group, some two million pairs at a time.
     start, reach = np.repeat(first, size), np.repeat(size, size)
@@ -227,6 +260,8 @@ def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits:
             n = reach[part]
             i = np.repeat(part, n)
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[part], n)
+            near = np.bitwise_count(lead[i] ^ lead[j]) <= min(most_bits, lead_bits)
+            i, j = i[near], j[near]
             close = (apart(prints, i, j) <= most_bits) & (i != j)
             i, j = i[close], j[close]
             mine = told(i, j)
@@ -234,58 +269,59 @@ def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def links(nodes: DataFrame, seeds: int, blocks: int, within: int, most_bits: int, most: int = MOST) -> DataFrame:
+def links(nodes: DataFrame, words: int, cover: tuple[Block, ...], within: int, most_bits: int, most: int = MOST, lead_bits: int = 64) -> DataFrame:
     """Pairs of fingerprints (a0, a1, ..., b0, b1, ...) that link, enough of them to join every component.
 
-    nodes: f0, f1, ..., distinct. The search runs over f0; `most_bits` holds over all of them together.
+    nodes: f0, f1, ..., distinct. `most_bits` holds over all words together. With several words, those that meet in a block of one word
+    are first held against each other by the next word, with lead_bits.
     """
     spark = nodes.sparkSession
-    names = [f"f{k}" for k in range(seeds)]
+    names = [f"f{k}" for k in range(words)]
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 2_000):
-                _, keys, _ = anchors(whole.slice(at, 2_000).column("f0").to_numpy().view(np.uint64), blocks, within)
+                _, keys, _ = anchors(_matrix(whole.slice(at, 2_000), names), cover, within)
                 kind, count = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(count)], names=["key", "rows"])
 
-    # Anchors over the bound, at most as many as one for each `most` rows; the list is capped for the driver and,
-    # past the cap, leaves the smallest of them whole.
-    counts = nodes.select("f0").mapInArrow(tally, "key bigint, rows bigint").groupBy("key").agg(F.sum("rows").alias("rows"))
-    hot = {r["key"]: min(2_000, -(-r["rows"] // most)) for r in counts.where(F.col("rows") > most).orderBy(F.desc("rows")).limit(50_000).collect()}
-    hot_keys = np.array(sorted(hot), dtype=np.int64)
-    hot_parts = np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
+    # Anchors over the bound. The list has as many rows as there are anchors at most, 2^(bits - 4) a block: 655,360 for 64 bits in three blocks.
+    counts = nodes.select(*names).mapInArrow(tally, "key bigint, rows bigint").groupBy("key").agg(F.sum("rows").alias("rows"))
+    hot = counts.where(F.col("rows") > most).toArrow().sort_by("key")
+    hot_keys = hot.column("key").to_numpy()
+    hot_parts = -(-hot.column("rows").to_numpy() // most)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 2_000):
-                prints = [whole.slice(at, 2_000).column(x).to_numpy() for x in names]
-                lead = prints[0].view(np.uint64)
-                row, key, home = anchors(lead, blocks, within)
+                prints = _matrix(whole.slice(at, 2_000), names)
+                row, key, home = anchors(prints, cover, within)
                 pair = np.zeros(len(row), dtype=np.int64)
                 if len(hot_keys):  # each row of a hot anchor goes to every pair of parts that has its own part
                     spot = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
                     parts = np.where(hot_keys[spot] == key, hot_parts[spot], 1)
-                    mine = (lead[row] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+                    mine = (prints[row, 0] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
                     row, key, home, mine, each = (np.repeat(x, parts) for x in (row, key, home, mine, parts))
                     other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
                     pair = np.minimum(mine, other) * each + np.maximum(mine, other)
-                group = ((key << 22 | pair) << 1) | home
-                yield pa.RecordBatch.from_arrays([pa.array(group), *(pa.array(x[row]) for x in prints)], names=["g", *names])
+                group = ((key << 35 | pair) << 1) | home
+                yield pa.RecordBatch.from_arrays([pa.array(group), *(pa.array(prints[row, k].view(np.int64)) for k in range(words))], names=["g", *names])
 
     dealt = nodes.select(*names).mapInArrow(spread, "g bigint, " + ", ".join(f"{x} bigint" for x in names))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, F.shiftright("g", 1)).sortWithinPartitions("g")
-    ends = [f"{side}{k}" for side in "ab" for k in range(seeds)]
+    ends = [f"{side}{k}" for side in "ab" for k in range(words)]
+    next_word = np.array([(b.word + 1) % words for b in cover])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
         def settle(run: pa.Table) -> pa.RecordBatch:
             g = run.column("g").to_numpy()
-            prints = np.stack([run.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-            block = (g >> 23) % blocks
-            i, j = compare(g >> 1, prints, (g & 1).astype(bool), most_bits, lambda i, j: here(prints, i, j, block[i], blocks, within))
+            prints = _matrix(run, names)
+            block = (g >> 36) & 31
+            lead = prints[np.arange(len(g)), next_word[block]]
+            i, j = compare(g >> 1, prints, (g & 1).astype(bool), most_bits, lambda i, j: here(prints, i, j, block[i], cover, within), lead, lead_bits)
             both = np.unique(np.concatenate([prints[np.maximum(i, j)], prints[np.minimum(i, j)]], axis=1), axis=0).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], names=ends)
 
@@ -303,276 +339,23 @@ def links(nodes: DataFrame, seeds: int, blocks: int, within: int, most_bits: int
     return dealt.mapInArrow(meet, ", ".join(f"{x} bigint" for x in ends)).distinct()
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 4, seeds: tuple[int, ...] = (42,), most_bits: int = 4, search_bits: int | None = None, blocks: int = 3, most: int = MOST) -> DataFrame:
-    """doc_id, f0, ..., component_id (the smallest doc_id reachable over links) of every document.
-
-    Two fingerprints link if they differ in at most most_bits over all seeds together. Nothing is missed whose
-    first fingerprints differ in at most search_bits (by default most_bits).
-    """
-    names = [f"f{k}" for k in range(len(seeds))]
-    prints = cut(fingerprinted(documents, shingle, seeds))
-    distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("least_id"))
-    node = lambda columns: F.xxhash64(*columns) if len(seeds) > 1 else F.col(columns[0])
-    nodes = cut(distinct.select(node(names).alias("node"), *names, "least_id"))
-    edges = links(nodes, len(seeds), blocks, (most_bits if search_bits is None else search_bits) // blocks, most_bits, most)
-    roots = components(edges.select(*(node([f"{x}{k}" for k in range(len(seeds))]).alias(x) for x in "ab")))
-    rooted = nodes.join(roots, nodes["node"] == roots["a"], "left").select(*names, "least_id", F.coalesce("b", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select(*names, "component_id")
-    return prints.join(named, names)
-
-
-# ---------------------------------------------------------------- exact similarity
-
-
-def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
-    """For each text the sorted XXH64 hashes (seed 42) of its distinct shingles; none if it has no words."""
-    out = []
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if len(words) <= shingle:
-            grams = {b" ".join(words)} if words else set()
-        else:
-            grams = {b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)), strict=False)}
-        out.append(np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), dtype=np.uint64, count=len(grams))))
-    return out
-
-
-def set_prints(sets: list[np.ndarray]) -> np.ndarray:
-    """Two fingerprints of each set, of its hashes and of the same mixed once more."""
-    out = np.zeros((len(sets), 2), dtype=np.uint64)
-    rows = [i for i, x in enumerate(sets) if len(x)]
-    for a in range(0, len(rows), 500):
-        part = rows[a : a + 500]
-        hashes = np.concatenate([sets[i] for i in part])
-        sizes = np.array([len(sets[i]) for i in part])
-        starts = np.cumsum(sizes) - sizes
-        out[part, 0] = _majority(hashes, starts)
-        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[part, 1] = _majority(hashes ^ (hashes >> np.uint64(31)), starts)
-    return out
-
-
-def rare_first(hashes: np.ndarray, alike: tuple[int, int], common: np.ndarray) -> np.ndarray:
-    """The first of a set's hashes, `common` ones last, so many that two sets of the given Jaccard have one of these in common."""
-    n = len(hashes)
-    if n and len(common):
-        late = np.isin(hashes, common)
-        hashes = np.concatenate([hashes[~late], hashes[late]])
-    return hashes[: n - -(-alike[0] * n // alike[1]) + 1] if n else hashes
-
-
-def linked(sets: list[np.ndarray], prints: np.ndarray, alike: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, root), one a row at most, that join the sets whose Jaccard is alike[0] / alike[1] or more.
-
-    A pair that is joined by others already is not compared.
-    """
-    n = len(sets)
-    label, size = np.arange(n), np.array([len(x) for x in sets], dtype=np.int64)
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        j = j[label[j] != label[i]]
-        j = j[alike[1] * np.minimum(size[i], size[j]) >= alike[0] * np.maximum(size[i], size[j])]
-        j = j[apart(prints, np.full(len(j), i), j) <= BITS]
-        if not len(j) or not size[i]:
-            continue
-        every = np.concatenate([sets[x] for x in j])
-        spot = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
-        common = np.add.reduceat((sets[i][spot] == every).astype(np.int64), np.cumsum(size[j]) - size[j])
-        j = j[alike[1] * common >= alike[0] * (size[i] + size[j] - common)]
-        _join(label, np.full(len(j), i), j)
-    rows = np.flatnonzero(label != np.arange(n))
-    return rows, label[rows]
-
-
-def _spread(row: np.ndarray, mine: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, pair): each row goes to every pair of parts of its group that has its own part."""
-    row, mine, parts = (np.repeat(x, parts) for x in (row, mine, parts)) if len(row) else (row, mine, parts)
-    each = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
-    other = np.arange(len(row)) - np.repeat(each, np.diff(np.append(each, len(row))))
-    return row, np.minimum(mine, other) * parts + np.maximum(mine, other)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
-    """The sorted batches cut into tables of whole groups, of equal keys."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if len(batch):
-            rest.append(batch)
-            at = 0
-            change = np.zeros(len(batch) - 1, dtype=bool)
-            for k in keys:
-                x = batch.column(k).to_numpy()
-                change |= x[1:] != x[:-1]
-            if change.any():
-                at = int(np.flatnonzero(change)[-1]) + 1
-                yield pa.Table.from_batches([*rest[:-1], batch.slice(0, at)])
-                rest = [batch.slice(at)]
-    if rest:
-        yield pa.Table.from_batches(rest)
+def _matrix(rows: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([rows.column(x).to_numpy() for x in names], axis=1).view(np.uint64)
 
 
-def _groups(table_: pa.Table, *keys: str) -> Iterator[tuple[int, int]]:
-    columns = [table_.column(k).to_numpy() for k in keys]
-    change = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns]))
-    first = np.flatnonzero(change)
-    yield from zip(first.tolist(), np.append(first[1:], len(table_)).tolist(), strict=True)
+def near_duplicates(documents: DataFrame, shingle: int = 4, seed: int = 42, most_bits: int = 4, blocks: int = 3, most: int = MOST) -> DataFrame:
+    """doc_id, f0 and component_id (the smallest doc_id reachable over links) of every document.
 
-
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
-
-
-def _part(node: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    return (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
-
-
-def candidates(nodes: DataFrame, alike: tuple[int, int], most: int = MOST) -> DataFrame:
-    """Pairs (a, b) of nodes, enough to join all that share one of their first hashes and differ in BITS bits of 128 at most."""
-    spark = nodes.sparkSession
-
-    def firsts(batch: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        sets = _sets(batch.column("shingles"))
-        keys = [rare_first(x, alike, common) for x in sets]
-        row = np.repeat(np.arange(len(sets)), [len(x) for x in keys])
-        return row, np.concatenate(keys).view(np.int64), sets
-
-    def hot(common: np.ndarray) -> dict[int, int]:
-        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, len(whole), 1_000):
-                    kind, count = np.unique(firsts(whole.slice(at, 1_000), common)[1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(count)], names=["key", "rows"])
-
-        counts = nodes.select("shingles").mapInArrow(tally, "key bigint, rows bigint").groupBy("key").agg(F.sum("rows").alias("rows"))
-        # As in links(): the list is capped for the driver, and hashes past the cap stay whole.
-        return {r["key"]: min(2_000, -(-r["rows"] // most)) for r in counts.where(F.col("rows") > most).orderBy(F.desc("rows")).limit(50_000).collect()}
-
-    first = hot(np.zeros(0, np.uint64))
-    common = np.array(sorted(first), dtype=np.int64).view(np.uint64)
-    found = hot(common) if first else {}
-    hot_keys = np.array(sorted(found), dtype=np.int64)
-    hot_parts = np.array([found[k] for k in sorted(found)], dtype=np.int64)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 1_000):
-                batch = whole.slice(at, 1_000)
-                row, key, sets = firsts(batch, common)
-                prints, node = set_prints(sets).view(np.int64), batch.column("node").to_numpy()
-                pair = np.zeros(len(row), dtype=np.int64)
-                if len(hot_keys):
-                    spot = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
-                    parts = np.where(hot_keys[spot] == key, hot_parts[spot], 1)
-                    entry, pair = _spread(np.arange(len(row)), _part(node[row], parts), parts)
-                    row, key = row[entry], key[entry]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, pair, node[row], prints[row, 0], prints[row, 1])], names=["key", "pair", "node", "f0", "f1"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, "key", "pair"):
-            columns = [run.column(x).to_numpy() for x in ("key", "pair", "node", "f0", "f1")]
-            same = np.append(False, (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1]))
-            some = same | np.append(same[1:], False)  # most hashes come once
-            key, pair, node, f0, f1 = (x[some] for x in columns)
-            if not len(node):
-                continue
-            prints = np.stack([f0, f1], axis=1).view(np.uint64)
-            opens = np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))
-            i, j = compare(np.cumsum(opens), prints, np.ones(len(node), dtype=bool), BITS, lambda i, j: i > j)
-            both = np.unique(np.stack([node[i], node[j]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], names=["a", "b"])
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = nodes.select("node", "shingles").mapInArrow(deal, "key bigint, pair bigint, node bigint, f0 bigint, f1 bigint")
-    return dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(meet, "a bigint, b bigint").distinct()
-
-
-def confirmed(nodes: DataFrame, roots: DataFrame, alike: tuple[int, int], most_hashes: int = MOST_HASHES) -> DataFrame:
-    """Pairs (a, b) of nodes of one component whose exact Jaccard is high enough, enough of them to join all that such pairs connect.
-
-    roots: rows (a, b) of components(). Only sets of these are sent, which a map of 2^26 bits tells beforehand.
+    Two fingerprints link if they differ in at most most_bits. A component's nodes are (is its least_id null, least_id, fingerprint), so its
+    smallest node names it, and no join by component is needed.
     """
-    spark = nodes.sparkSession
-    rooted = cut(roots.unionAll(roots.select(F.col("b").alias("a"), "b").distinct()))
-    slot = F.pmod("a", F.lit(1 << 26))
-    maps = rooted.groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot % (1 << 15)).alias("bits"))
-    held = np.zeros((1 << 11, 1 << 12), dtype=np.uint8)
-    for r in maps.collect():
-        held[r["k"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    held = held.reshape(-1)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("node").to_numpy() % (1 << 26)
-            yield batch.filter(pa.array((held[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)))
-
-    schema = "node bigint, size bigint, shingles binary"
-    sent = nodes.select("node", "size", "shingles").mapInArrow(known, schema).join(rooted, F.col("node") == F.col("a")).select("b", "node", "size", "shingles")
-    weights = nodes.select("node", "size").join(rooted, F.col("node") == F.col("a")).groupBy("b").agg(F.sum("size").alias("hashes"))
-    # Components too heavy for one task, at most as many as one for each most_hashes; capped as in links().
-    found = {r["b"]: min(2_000, -(-r["hashes"] // most_hashes)) for r in weights.where(F.col("hashes") > most_hashes).orderBy(F.desc("hashes")).limit(50_000).collect()}
-    hot_keys = np.array(sorted(found), dtype=np.int64)
-    hot_parts = np.array([found[k] for k in sorted(found)], dtype=np.int64)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, key = batch.column("node").to_numpy(), batch.column("b").to_numpy()
-            row, pair = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
-            if len(hot_keys) and len(node):
-                spot = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
-                parts = np.where(hot_keys[spot] == key, hot_parts[spot], 1)
-                row, pair = _spread(row, _part(node, parts), parts)
-            for at in range(0, len(row), 500):
-                some = row[at : at + 500]
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(pair[at : at + 500]), pa.array(node[some]), batch.column("shingles").take(pa.array(some))], names=["b", "pair", "node", "shingles"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, "b", "pair"):
-            node, links_ = run.column("node").to_numpy(), []
-            for a, z in _groups(run, "b", "pair"):
-                sets = _sets(run.column("shingles").slice(a, z - a))
-                rows, other = linked(sets, set_prints(sets), alike)
-                links_.append((node[rows + a], node[other + a]))
-            ends = [np.concatenate(x) for x in zip(*links_, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b"])
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = sent.mapInArrow(deal, "b bigint, pair bigint, node bigint, shingles binary")
-    return dealt.repartition(parts, "b", "pair").sortWithinPartitions("b", "pair").mapInArrow(meet, "a bigint, b bigint").distinct()
-
-
-def alike_documents(documents: DataFrame, shingle: int, alike: tuple[int, int], most: int = MOST, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable over links) of every document.
-
-    Two texts link if the exact Jaccard of their sets of shingles is alike[0] / alike[1] or more. Fingerprints only sort out:
-    a pair has to share one of its first hashes, which all pairs so alike do, and to differ in BITS of 128 bits at most.
-    Texts without words are alike to each other and to no others.
-    """
-    key = documents.schema["doc_id"].dataType.simpleString()
-
-    def run(full: bool) -> Callable:
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, len(whole), 1_000):
-                    batch = whole.slice(at, 1_000)
-                    found = [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist(), shingle)]
-                    node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in found], dtype=np.uint64).view(np.int64))
-                    if full:
-                        yield pa.RecordBatch.from_arrays([node, pa.array([len(x) // 8 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["node", "size", "shingles"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([batch.column(0), node], names=["doc_id", "node"])
-
-        return sets
-
-    texts = documents.select("doc_id", "text")
-    named = cut(texts.mapInArrow(run(False), f"doc_id {key}, node bigint"))
-    nodes = cut(texts.mapInArrow(run(True), "node bigint, size bigint, shingles binary").groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")))
-    roots = components(confirmed(nodes, components(candidates(nodes, alike, most)), alike, most_hashes))
-    least = named.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    rooted = cut(least.join(roots, least["node"] == roots["a"], "left").select("node", "least_id", F.coalesce("b", "node").alias("root")))
-    lowest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return named.join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    prints = cut(fingerprinted(documents, shingle, (seed,)))
+    nodes = cut(prints.groupBy("f0").agg(F.min("doc_id").alias("least_id")).select("f0", F.struct(F.col("least_id").isNull().alias("none"), "least_id", "f0").alias("node")))
+    found = links(nodes.select("f0"), 1, whole_cover(blocks), most_bits // blocks, most_bits, most)
+    side = lambda x: nodes.select(F.col("f0").alias(f"{x}0"), F.col("node").alias(x))
+    roots = components(found.join(side("a"), "a0").join(side("b"), "b0").select("a", "b"))
+    named = nodes.join(roots, nodes["node"] == roots["a"], "left").select("f0", F.coalesce("b", "node")["least_id"].alias("component_id"))
+    return prints.join(named, "f0").select("doc_id", "f0", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,15 +364,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest doc_id, with all its columns.
+    """One document of each group of near_duplicates(), the one of the smallest doc_id, with all its columns.
 
-    With the option `alike` they are those of alike_documents(), else those of near_duplicates().
     Rows that repeat a doc_id are one document: they stay or go together. Rows without a doc_id stay.
     """
-    found = (alike_documents if "alike" in options else near_duplicates)(documents, **options)
-    (name,) = free(documents, "copy_id")
-    copies = found.where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(copies, F.col("doc_id") == F.col(name), "left_anti")
+    found = near_duplicates(documents, **options)
+    return without(documents, "doc_id", found.where("doc_id > component_id").select("doc_id"))
 
 
 ORACLE_SQL = None
