@@ -371,6 +371,21 @@ def test_segmentation_rows(spark):
     assert op8.sampled(docs.where("false")).count() == 0
 
 
+def test_units():
+    chance = random.Random(31)
+    for _ in range(3_000):
+        text = "".join(chance.choice(["a", "b", " ", "\n", "▁", "\0", "é"][: chance.choice((3, 4, 7))]) for _ in range(chance.randrange(1, 9)))
+        assert op8.units_of(text) == op8._UNIT.findall("▁" + text.replace(" ", "▁"))
+
+
+def test_nodes_without_mass_are_passed_over():
+    """A text with one segmentation but for edges of next to no mass still gives its rows, and no row twice."""
+    lattices = op8.Lattices(op8.vocabulary(op8.VOCABULARY))
+    for n in (1, 2, 5, 40):
+        rows = op8.segmentations(lattices, [n], ["ab" * n], 6)[0]
+        assert len({tuple(r[0].tolist()) for r in rows}) == len(rows) == min(6, len(brute_segmentations("ab" * n)) if n < 5 else 6)
+
+
 def test_cache_doesnt_show(monkeypatch):
     texts = [f"words {i} of the text number {i * 7919} again and again" for i in range(60)]
     large = op8.segmentations(op8.Lattices(op8.vocabulary(op8.VOCABULARY)), list(range(60)), texts, 2)

@@ -11,15 +11,17 @@ that holds it is chosen in proportion to its mass, and the largest value of the
 then (a truncated Gumbel). So the largest value's path is a plain sample, each step of it leaves one open node, the
 rest at that step, and the next segmentation is found behind the open node of the largest value. All heuristics are exact, so k + 1 nodes are
 opened for k results. The (k+1)-th value is the threshold t, and a result's inclusion score is the probability that
-its value is over t, 1 - exp(-exp(log p - t)), 1 if there are no more segmentations.
+its value is over t, 1 - exp(-exp(log p - t)), 1 if there are no more segmentations. Open nodes of a mass below
+exp(-FAINT) of their text count as empty, wherever they are: one of them would be next with a probability of some exp(-FAINT + 10) at most.
 
 All texts of a batch take their steps together in numpy. Noise is a hash of the row's key, the result's rank, and the
 step, so it depends on neither partitions nor batches. Lattices of units are kept between batches, up to CACHE
-nodes; memory otherwise grows with a batch of BATCH bytes, or with the longest text.
+nodes of some 50 bytes; memory otherwise grows with a batch of BATCH bytes, or with the longest text.
 
 Defined cases: null text counts as empty, which has one segmentation, of no pieces; texts with fewer than k segmentations give fewer
 rows; rows of equal key and text give equal rows; null keys count as the empty text; U+2581 in a text decodes as a space, as with
-the model itself; an empty table gives an empty result; other columns are ignored.
+the model itself; texts of any length are segmented whole; an empty table gives an empty result; other columns are ignored by sampled(), and kept by
+encoded() and segmented() but for those of the names that they add, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -42,7 +45,7 @@ from .common import table
 
 NAME = "op8_sentencepiece"
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-SAMPLES, ZIPF, WIDTH, CACHE, BATCH = 2, 10.0, 16, 250_000, 1 << 17
+SAMPLES, ZIPF, WIDTH, FAINT, CACHE, BATCH = 2, 10.0, 16, 60.0, 1_000_000, 1 << 19
 _UNIT = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,9 +61,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _uniform(seed: np.ndarray, turn: np.ndarray) -> np.ndarray:
+def _uniform(seed: np.ndarray, turn: np.ndarray | np.uint64) -> np.ndarray:
     """In (0, 1), of a seed and a counter."""
-    return ((_mix(seed + turn.astype(np.uint64) * _BASE) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((_mix(seed + np.atleast_1d(turn) * _BASE) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def _next_key(key: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -69,6 +72,11 @@ def _next_key(key: np.ndarray, code: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[0], first[0] + 1, ..., size[0] of them, then those from first[1] on, and so on."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Vocabulary:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -93,15 +101,16 @@ class Vocabulary:
         if len(np.unique(keys)) < len(keys):
             raise ValueError("pieces of equal keys")
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(list(begins.values()), dtype=np.int16)[order]
+        self.keys, self.ids = keys[order], np.array(list(begins.values()), dtype=np.int32)[order]
         # One slot a key by its first bits; the few that share one are searched for. Slot and key of "none" are the last ones.
         slots = (self.keys >> np.uint64(44)).astype(np.int64)
         self.slot = np.full(1 << 20, -1, dtype=np.int32)
         self.slot[slots] = np.arange(len(slots))
         shared = np.bincount(slots, minlength=1 << 20) > 1
         self.slot[shared] = -2
-        self.weights = np.append(self.log_weight, -np.inf)  # of piece -1: -inf
-        self.lengths = np.array([len(x) for x in self.content])
+        self.bytes = np.frombuffer(b"".join(self.content), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in self.content], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     @staticmethod
     def _keys(strings: list[str]) -> np.ndarray:
@@ -119,10 +128,14 @@ class Vocabulary:
         some = np.flatnonzero(spot == -2)
         spot[some] = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
         known = (self.keys[spot] == keys) & (spot >= 0)
-        return np.where(known, self.ids[spot], np.int16(-1)), known
+        return np.where(known, self.ids[spot], np.int32(-1)), known
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """What the pieces spell, with the leading space."""
+        return self.bytes[_ragged(self.begins[ids], self.sizes[ids])].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.content.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        text = self.joined(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -132,7 +145,12 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattices:
-    """Lattices of distinct units, node by node: `reach` has the running sum of the probabilities of edges by length, `piece` their pieces."""
+    """Lattices of distinct units, node by node, a node for each character and one at the end. The edges that begin at node n are those from
+    first[n] to first[n + 1], by length: `reach` is the running sum of their probabilities, `piece` their piece, -1 for a character's bytes.
+    """
+
+    KINDS = {"first": np.int32, "code": np.uint32, "mass": np.float64, "reach": np.float32, "piece": np.int32, "length": np.uint8}
+    NODES = ("first", "code", "mass")  # the others have an entry an edge
 
     def __init__(self, words: Vocabulary):
         self.words = words
@@ -140,104 +158,140 @@ class Lattices:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.size = 0
-        self._room(0)
+        self.size = self.edges = 0
+        for name, kind in self.KINDS.items():
+            setattr(self, name, np.zeros(1, dtype=kind))
+        self.seen = np.zeros(0, dtype=np.int32)
+
+    def _room(self, nodes: int, edges: int) -> None:
+        """Arrays with room for so many more. mass: log of the weight of all ways from a node to its unit's end; code: 0 at a unit's end."""
+        for name, kind in self.KINDS.items():
+            used, more = (self.size + 1, nodes) if name in self.NODES else (self.edges, edges)
+            old = getattr(self, name)
+            if used + more > len(old):
+                new = np.zeros(max(used + more, len(old) * 3 // 2), dtype=kind)
+                new[:used] = old[:used]
+                setattr(self, name, new)
+        if self.size + nodes > len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros(max(self.size + nodes, len(self.seen) * 3 // 2) - len(self.seen), dtype=np.int32)])
 
     def _thin(self) -> None:
         """Only the units that came more than once since the last time stay, if they are half of the nodes at most."""
-        seen = self.seen
-        kept = [(u, at) for u, at in self.at.items() if seen[at] > 1]
+        kept = [(u, at) for u, at in self.at.items() if self.seen[at] > 1]
+        begins = np.fromiter((at for _, at in kept), dtype=np.int64, count=len(kept))
         sizes = np.fromiter((len(u) + 1 for u, _ in kept), dtype=np.int64, count=len(kept))
         if sizes.sum() > CACHE // 2:
-            kept, sizes = [], sizes[:0]
-        begin = np.cumsum(sizes) - sizes
-        nodes = np.repeat(np.fromiter((at for _, at in kept), dtype=np.int64, count=len(kept)) - begin, sizes) + np.arange(sizes.sum())
-        held = (self.reach[nodes], self.piece[nodes], self.mass[nodes], self.code[nodes])
+            kept, begins, sizes = [], begins[:0], sizes[:0]
+        nodes = _ragged(begins, sizes)
+        counts = (self.first[nodes + 1] - self.first[nodes]).astype(np.int64)
+        edges = _ragged(self.first[nodes].astype(np.int64), counts)
+        held = {k: getattr(self, k)[nodes] if k in self.NODES else getattr(self, k)[edges] for k in self.KINDS}
         self.clear()
-        self._room(len(nodes))
-        for new, x in zip((self.reach, self.piece, self.mass, self.code), held, strict=True):
-            new[: len(nodes)] = x
-        self.at = dict(zip((u for u, _ in kept), begin.tolist(), strict=True))
-        self.size = len(nodes)
-
-    def _room(self, more: int) -> None:
-        """Arrays with room for `more` nodes."""
-        if not self.size and not more or self.size + more > len(self.code):
-            room = max(CACHE * 5 // 4, self.size + more)
-            old = self.size and (self.reach, self.piece, self.mass, self.code)
-            self.reach, self.piece = np.ones((room, WIDTH), dtype=np.float32), np.full((room, WIDTH), -1, dtype=np.int16)
-            self.mass = np.zeros(room)  # log of the weight of all ways from a node to its unit's end
-            self.code = np.zeros(room, dtype=np.uint32)  # 0 at a unit's end
-            seen, self.seen = getattr(self, "seen", None), np.zeros(room, dtype=np.int32)  # at a unit's first node, how often it came
-            if old:
-                for new, x in zip((self.reach, self.piece, self.mass, self.code, self.seen), (*old, seen), strict=True):
-                    new[: self.size] = x[: self.size]
+        self._room(len(nodes), len(edges))
+        for k in ("code", "mass"):
+            getattr(self, k)[: len(nodes)] = held[k]
+        for k in ("reach", "piece", "length"):
+            getattr(self, k)[: len(edges)] = held[k]
+        self.first[1 : len(nodes) + 1] = np.cumsum(counts)
+        self.at = dict(zip((u for u, _ in kept), (np.cumsum(sizes) - sizes).tolist(), strict=True))
+        self.size, self.edges = len(nodes), len(edges)
 
     def starts(self, units: list[str]) -> np.ndarray:
         """The first node of each unit."""
-        found = list(map(self.at.get, units))
-        if None in found:
-            new = list({u for u, at in zip(units, found, strict=True) if at is None})
+        out = np.fromiter(map(self.at.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        new = np.flatnonzero(out < 0).tolist()
+        if new:
             if self.size > CACHE:
                 self._thin()
-                new = list({u for u in set(units) if u not in self.at})
-            self._add(new)
-            found = list(map(self.at.__getitem__, units))
-        out = np.array(found, dtype=np.int64)
+                out = np.fromiter(map(self.at.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+                new = np.flatnonzero(out < 0).tolist()
+            fresh = [units[k] for k in new]
+            self._add(list(dict.fromkeys(fresh)))
+            out[new] = np.fromiter(map(self.at.__getitem__, fresh), dtype=np.int64, count=len(new))
         self.seen[: self.size] += np.bincount(out, minlength=self.size).astype(np.int32)
         return out
 
-    def log_edge(self, node: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Log-probability of the edges of given lengths, given that a path comes to their nodes."""
-        return self.weight(node, length) + self.mass[node + length] - self.mass[node]
+    def log_edge(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Log-probability of edges, given that a path comes to their nodes."""
+        return self.weight(node, edge) + self.mass[node + self.length[edge]] - self.mass[node]
 
-    def weight(self, node: np.ndarray, length: np.ndarray) -> np.ndarray:
-        piece = self.piece[node, length - 1]
-        return np.where(piece >= 0, self.words.log_weight[piece], self.words.log_weight[3] * _utf8_size(self.code[node]))
+    def weight(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        piece = self.piece[edge]
+        out = self.words.log_weight[piece]
+        spell = np.flatnonzero(piece < 0)
+        out[spell] = self.words.log_weight[3] * _utf8_size(self.code[node[spell]])
+        return out
 
     def _add(self, units: list[str]) -> None:
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        self._room(int((sizes + 1).sum()))
         begin = np.cumsum(sizes + 1) - (sizes + 1)
-        slabs = [0, *(np.flatnonzero(np.diff(begin // 32_768)) + 1).tolist(), len(units)]
+        slabs = [0, *(np.flatnonzero(np.diff(begin // 65_536)) + 1).tolist(), len(units)]
         for a, b in zip(slabs, slabs[1:], strict=False):
             if b > a:
-                here = slice(self.size + int(begin[a]), self.size + int(begin[b - 1] + sizes[b - 1] + 1))
-                self._solve(units[a:b], sizes[a:b], self.reach[here], self.piece[here], self.mass[here], self.code[here])
-        self.at.update(zip(units, (self.size + begin).tolist(), strict=True))
-        self.size += int((sizes + 1).sum())
+                self._solve(units[a:b], sizes[a:b])
 
-    def _solve(self, units: list[str], sizes: np.ndarray, reach: np.ndarray, piece: np.ndarray, mass: np.ndarray, code: np.ndarray) -> None:
-        """The units' nodes one after another: a node for each character and one at each end. All arrays are views to fill."""
+    def _solve(self, units: list[str], sizes: np.ndarray) -> None:
         words, ends = self.words, np.cumsum(sizes + 1) - 1
-        left = np.repeat(ends, sizes + 1) - np.arange(len(code))  # characters up to the unit's end
+        nodes = int(ends[-1]) + 1
+        left = np.repeat(ends, sizes + 1) - np.arange(nodes)  # characters up to the unit's end
+        code = np.zeros(nodes, dtype=np.uint32)
         code[left > 0] = _codes("".join(units))
-        score = np.full((len(code), WIDTH), -np.inf)
-        where, keys, width = np.flatnonzero(left > 0), np.zeros(int(sizes.sum()), dtype=np.uint64), 1
+        # Edges by length, for all nodes at once: a node drops out where no piece goes on.
+        where, keys, found = np.flatnonzero(left > 0), np.zeros(nodes - len(units), dtype=np.uint64), []
         for n in range(1, WIDTH + 1):
             keys = _next_key(keys, code[where + n - 1].astype(np.uint64))
-            found, known = words.find(keys)
-            if n == 1:
-                found = np.where((found < 0) & (code[where] < 0x80), words.byte_ids[np.minimum(code[where], 0x7F)], found)
-            piece[where, n - 1] = found
-            weight = words.weights[found]
-            if n == 1:
-                weight = np.where(found >= 0, weight, words.log_weight[3] * _utf8_size(code[where]))
-            score[where, n - 1] = weight
-            width = n
-            longer = known & (left[where] > n)
+            piece, known = words.find(keys)
+            if n == 1:  # a character without a piece has its bytes
+                piece = np.where((piece < 0) & (code[where] < 0x80), words.byte_ids[np.minimum(code[where], 0x7F)], piece)
+                found.append((where, piece))
+            else:
+                some = np.flatnonzero(piece >= 0)
+                found.append((where[some], piece[some]))
+            longer = np.flatnonzero(known & (left[where] > n))
             where, keys = where[longer], keys[longer]
             if not len(where):
                 break
+        counts = np.zeros(nodes, dtype=np.int64)
+        for at, _ in found:
+            counts[at] += 1
+        first = np.cumsum(counts) - counts
+        total = int(counts.sum())
+        piece, length, fill = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.uint8), first.copy()
+        for n, (at, p) in enumerate(found, 1):
+            piece[fill[at]], length[fill[at]] = p, n
+            fill[at] += 1
+        start = np.repeat(np.arange(nodes), counts)
+        weight = words.log_weight[piece]
+        spell = np.flatnonzero(piece < 0)
+        weight[spell] = words.log_weight[3] * _utf8_size(code[start[spell]])
+        # Backward sums, for all nodes of equal distance from their unit's end at once.
         order = np.argsort(left, kind="stable")
         bounds = np.searchsorted(left[order], np.arange(int(left.max()) + 2))
+        many = counts[order]
+        edge_bounds = np.append(0, np.cumsum(many))[bounds]
+        edges = _ragged(first[order], many)
+        out_weight, out_end = weight[edges], (start + length)[edges]
+        row_first = np.cumsum(many) - many
+        mass = np.zeros(nodes)
         for d in range(1, len(bounds) - 1):
-            rows, most = order[bounds[d] : bounds[d + 1]], min(d, width)
-            ways = score[rows, :most] + mass[rows[:, None] + np.arange(1, most + 1)]
-            top = ways.max(axis=1)
-            sums = np.cumsum(np.exp(ways - top[:, None]), axis=1)
-            mass[rows] = top + np.log(sums[:, -1])
-            reach[rows, :most] = np.where(sums >= sums[:, -1:], 1.0, sums / sums[:, -1:])
+            a, b = edge_bounds[d], edge_bounds[d + 1]
+            rows, opens = order[bounds[d] : bounds[d + 1]], row_first[bounds[d] : bounds[d + 1]] - a
+            ways = out_weight[a:b] + mass[out_end[a:b]]
+            top = np.maximum.reduceat(ways, opens)
+            sums = np.add.reduceat(np.exp(ways - np.repeat(top, many[bounds[d] : bounds[d + 1]])), opens)
+            mass[rows] = top + np.log(sums)
+        share = np.exp(weight + mass[start + length] - mass[start])
+        for j in range(1, int(counts.max())):
+            rows = first[counts > j] + j
+            share[rows] += share[rows - 1]
+        share[first[counts > 0] + counts[counts > 0] - 1] = 1.0
+        self._room(nodes, total)
+        here, those = slice(self.size, self.size + nodes), slice(self.edges, self.edges + total)
+        self.code[here], self.mass[here] = code, mass
+        self.first[self.size + 1 : self.size + nodes + 1] = self.edges + first + counts
+        self.reach[those], self.piece[those], self.length[those] = np.minimum(share, 1.0), piece, length
+        self.at.update(zip(units, (self.size + ends - sizes).tolist(), strict=True))
+        self.size, self.edges = self.size + nodes, self.edges + total
 
 
 def _utf8_size(code: np.ndarray) -> np.ndarray:
@@ -250,36 +304,50 @@ def _kept(path: str) -> Lattices:
     return Lattices(vocabulary(path))
 
 
+def units_of(text: str | None) -> list[str]:
+    """The text's units, with U+2581 for the spaces that they begin with."""
+    if not text:
+        return []
+    if "▁" in text or "\0" in text or "  " in text or text[0] == " ":
+        return _UNIT.findall("▁" + text.replace(" ", "▁"))
+    marked = "▁" + text.replace(" ", "\0▁")
+    return list(filter(None, marked.replace("\n", "\0\n\0").split("\0"))) if "\n" in text else marked.split("\0")
+
+
 class Paths:
-    """Sampled segmentations of some texts: steps in order, a node and an edge's length each."""
+    """Sampled segmentations of some texts: steps in order, a node and an edge each."""
 
-    def __init__(self, node: np.ndarray, length: np.ndarray, first: np.ndarray):
-        self.node, self.length, self.first = node, length, first  # first: where each text's steps begin, and the end
+    def __init__(self, node: np.ndarray, edge: np.ndarray, first: np.ndarray):
+        self.node, self.edge, self.first = node, edge, first  # first: where each text's steps begin, and the end
 
     @staticmethod
     def sample(lattices: Lattices, starts: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> Paths:
         """Plain samples. starts: the first nodes of the units of all texts; sizes: units a text; seeds: one a text."""
         count = len(starts)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(count) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        own = _mix(seeds[text] + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        place = _ragged(np.zeros(len(sizes), dtype=np.int64), sizes).astype(np.uint64)
+        own = _mix(np.repeat(seeds, sizes) + place * np.uint64(0xD1B54A32D192ED03))
         who, node, rounds = np.arange(count), starts, []
         while len(who):
-            u = _uniform(own[who], np.full(len(who), len(rounds) + 1)).astype(np.float32)
-            length = (lattices.reach[node] <= np.minimum(u, np.float32(0.99999994))[:, None]).sum(axis=1) + 1
-            rounds.append((who, node, length))
-            node = node + length
-            more = lattices.code[node] > 0
-            who, node = who[more], node[more]
+            u = np.minimum(_uniform(own, np.uint64(len(rounds) + 1)).astype(np.float32), np.float32(0.99999994))
+            edge = lattices.first[node].astype(np.int64)
+            beyond = np.flatnonzero(lattices.reach[edge] <= u)
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[lattices.reach[edge[beyond]] <= u[beyond]]
+            rounds.append((who, node, edge))
+            node = node + lattices.length[edge]
+            more = np.flatnonzero(lattices.code[node])
+            who, node, own = who[more], node[more], own[more]
         steps = np.zeros(count, dtype=np.int64)
-        for w, _, _ in rounds:
-            steps[w] += 1
+        for turn, (w, _, _) in enumerate(rounds, 1):
+            steps[w] = turn
         at = np.cumsum(steps) - steps
-        nodes, lengths = np.empty(int(steps.sum()), dtype=np.int64), np.empty(int(steps.sum()), dtype=np.int64)
+        nodes, edges = np.empty(int(steps.sum()), dtype=np.int64), np.empty(int(steps.sum()), dtype=np.int64)
         for turn, (w, n, x) in enumerate(rounds):
-            nodes[at[w] + turn], lengths[at[w] + turn] = n, x
-        first = np.append(0, np.cumsum(np.bincount(text, weights=steps, minlength=len(sizes)).astype(np.int64)))
-        return Paths(nodes, lengths, first)
+            spot = at[w] + turn
+            nodes[spot], edges[spot] = n, x
+        total = np.append(0, np.cumsum(steps))
+        return Paths(nodes, edges, total[np.append(0, np.cumsum(sizes))])
 
 
 def _truncated(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -294,113 +362,129 @@ class Sampler:
 
     def __init__(self, lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int):
         self.lattices, self.seeds = lattices, seeds
-        units = [_UNIT.findall("▁" + x.replace(" ", "▁")) if x else [] for x in texts]
+        units = list(map(units_of, texts))
         self.sizes = np.array([len(x) for x in units], dtype=np.int64)
         self.starts = lattices.starts([u for x in units for u in x])
         self.unit_first = np.append(0, np.cumsum(self.sizes))
         self.unit_mass = np.bincount(np.repeat(np.arange(len(texts)), self.sizes), weights=lattices.mass[self.starts], minlength=len(texts))
         n = len(texts)
         self.nodes: list[list[np.ndarray]] = [[] for _ in range(n)]
-        self.lengths: list[list[np.ndarray]] = [[] for _ in range(n)]
+        self.edges: list[list[np.ndarray]] = [[] for _ in range(n)]
         self.pieces: list[list[np.ndarray]] = [[] for _ in range(n)]
         self.values: list[list[float]] = [[] for _ in range(n)]
         self.log_p: list[list[float]] = [[] for _ in range(n)]
-        self._open: list[list[np.ndarray]] = [[] for _ in range(n)]  # for each result, the open nodes' values
-        self._taken: list[dict] = [{} for _ in range(n)]  # (result, step): lengths that are gone
+        self._open: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]  # for each result, steps and values of the open nodes
+        self._taken: list[dict] = [{} for _ in range(n)]  # (result, step): edges that are gone
         self.threshold = np.full(n, -np.inf)
-        top = -np.log(-np.log(_uniform(seeds, np.zeros(n))))
+        top = -np.log(-np.log(_uniform(seeds, np.uint64(0))))
         none = np.zeros(0, dtype=np.int64)
         self._extend(np.arange(n), [none] * n, [none] * n, self.starts, self.sizes, top, 0)
         for rank in range(1, k + 1):
             self._next(rank, rank == k)
 
-    def _extend(self, who: np.ndarray, nodes: list[np.ndarray], lengths: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray, top: np.ndarray, rank: int) -> None:
+    def _extend(self, who: np.ndarray, nodes: list[np.ndarray], edges: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray, top: np.ndarray, rank: int) -> None:
         """A result for each of `who`: its given steps, then samples of the units from `starts` on. Nodes open behind the given steps."""
+        lattices = self.lattices
         noise = _mix(self.seeds[who] + np.uint64((2 * rank + 1) * 0xA0761D6478BD642F % (1 << 64)))
-        tail = Paths.sample(self.lattices, starts, sizes, noise)
+        tail = Paths.sample(lattices, starts, sizes, noise)
         given = np.array([len(x) for x in nodes], dtype=np.int64)
-        counts = given + np.diff(tail.first)
-        first = np.append(0, np.cumsum(counts))
-        node, length = np.empty(first[-1], dtype=np.int64), np.empty(first[-1], dtype=np.int64)
-        is_given = np.zeros(first[-1], dtype=bool)
-        is_given[np.repeat(first[:-1], given) + np.arange(given.sum()) - np.repeat(np.cumsum(given) - given, given)] = True
-        node[is_given], length[is_given] = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in (nodes, lengths))
-        node[~is_given], length[~is_given] = tail.node, tail.length
-        piece = self.lattices.piece[node, length - 1].astype(np.int32)
-        weight = self.lattices.words.weights[piece]
+        if given.any():
+            first = tail.first + np.append(0, np.cumsum(given))
+            node, edge = np.empty(first[-1], dtype=np.int64), np.empty(first[-1], dtype=np.int64)
+            is_given = np.zeros(first[-1], dtype=bool)
+            is_given[_ragged(first[:-1], given)] = True
+            node[is_given], edge[is_given] = np.concatenate(nodes), np.concatenate(edges)
+            node[~is_given], edge[~is_given] = tail.node, tail.edge
+        else:
+            first, node, edge = tail.first, tail.node, tail.edge
+        piece = lattices.piece[edge]
+        weight = lattices.words.log_weight[piece]
         spell = np.flatnonzero(piece < 0)
-        weight[spell] = self.lattices.weight(node[spell], length[spell])
+        weight[spell] = lattices.words.log_weight[3] * _utf8_size(lattices.code[node[spell]])
         # Edges' probabilities multiply to a text's weight over that of all ways through its units.
-        text = np.repeat(np.arange(len(who)), counts)
-        totals = np.bincount(text, weights=weight, minlength=len(who)) - self.unit_mass[who]
-        # Open nodes matter where a path still has mass: behind exp(-60) of a text no double can tell.
-        place = np.arange(first[-1]) - first[:-1][text]
-        near = np.flatnonzero(place < 256)
-        while True:
-            log_p = np.minimum(self.lattices.log_edge(node[near], length[near]), 0.0)
-            running = np.append(0.0, np.cumsum(log_p))
-            here = np.append(np.flatnonzero(place[near] == 0), len(near))
-            sizes_ = np.diff(here)
-            before = running[:-1] - np.repeat(running[here[:-1]], sizes_)
-            if len(near) == len(node) or not (before[(place[near] == 255)] > -60).any():
-                break
-            near = np.arange(len(node))
-        with np.errstate(divide="ignore"):
-            rest = np.log(-np.expm1(log_p))
-        rest[log_p > -1e-12] = -np.inf
-        value = np.full(len(node), -np.inf)
-        u = _uniform(_mix(noise + np.uint64(0x632BE59BD9B4E019))[text[near]], place[near])
-        value[near] = _truncated(before + rest, top[text[near]], u)
-        value[is_given] = -np.inf
-        for k, d in enumerate(who):
+        counts = np.diff(first)
+        totals = np.bincount(np.repeat(np.arange(len(who)), counts), weights=weight, minlength=len(who)) - self.unit_mass[who]
+        # Open nodes matter where a path still has mass. Most paths have lost theirs soon, so the first steps of all texts are tried before whole texts.
+        tried, rows = np.minimum(counts, 128), np.arange(len(who))
+        step, value = [None] * len(who), [None] * len(who)
+        while len(rows):
+            size = tried[rows]
+            near = _ragged(first[rows], size)
+            text = np.repeat(rows, size)
+            log_p = np.minimum(lattices.log_edge(node[near], edge[near]), 0.0)
+            opens = np.cumsum(size) - size
+            before = np.cumsum(log_p) - log_p
+            before -= np.repeat(before[np.minimum(opens, max(len(before) - 1, 0))], size) if len(before) else 0.0
+            place = near - first[text]
+            live = np.flatnonzero((before >= -FAINT) & (place >= given[text]))
+            with np.errstate(divide="ignore"):
+                rest = np.log(-np.expm1(log_p[live]))
+            rest[log_p[live] > -1e-12] = -np.inf
+            u = _uniform(_mix(noise + np.uint64(0x632BE59BD9B4E019))[text[live]], place[live].astype(np.uint64))
+            values = _truncated(before[live] + rest, top[text[live]], u)
+            cuts = np.searchsorted(text[live], np.append(rows, len(who)))
+            final = np.zeros(len(rows))
+            final[size > 0] = before[(opens + size - 1)[size > 0]]
+            enough = (size == counts[rows]) | (final < -FAINT)
+            for r, ok, a, b in zip(rows.tolist(), enough.tolist(), cuts.tolist(), cuts[1:].tolist(), strict=False):
+                if ok:
+                    step[r], value[r] = place[live[a:b]], values[a:b]
+            rows = rows[~enough]
+            tried[rows] = np.minimum(counts[rows], tried[rows] * 8)
+        for k, d in enumerate(who.tolist()):
             a, b = first[k], first[k + 1]
             self.pieces[d].append(piece[a:b])
             self.nodes[d].append(node[a:b])
-            self.lengths[d].append(length[a:b])
-            self._open[d].append(value[a:b])
+            self.edges[d].append(edge[a:b])
+            self._open[d].append((step[k], value[k]))
             self.values[d].append(float(top[k]))
             self.log_p[d].append(float(min(totals[k], 0.0)))
 
     def _next(self, rank: int, last: bool) -> None:
-        who, tops, nodes, lengths, starts, sizes = [], [], [], [], [], []
+        lattices = self.lattices
+        who, tops, nodes, edges, starts, sizes = [], [], [], [], [], []
         for d in range(len(self.nodes)):
-            best, result, step = -np.inf, 0, 0
-            for r, values in enumerate(self._open[d]):
-                if len(values):
-                    i = int(values.argmax())
-                    if values[i] > best:
-                        best, result, step = float(values[i]), r, i
-            if best == -np.inf:
-                continue
+            while True:
+                best, result, at = -np.inf, 0, 0
+                for r, (_, values) in enumerate(self._open[d]):
+                    if len(values):
+                        i = int(values.argmax())
+                        if values[i] > best:
+                            best, result, at = float(values[i]), r, i
+                if best == -np.inf or last:
+                    break
+                step = int(self._open[d][result][0][at])
+                node, edge = self.nodes[d][result], self.edges[d][result]
+                here = int(node[step])
+                gone = self._taken[d].setdefault((result, step), [int(edge[step])])
+                left = np.array([e for e in range(int(lattices.first[here]), int(lattices.first[here + 1])) if e not in gone], dtype=np.int64)
+                p = np.exp(lattices.log_edge(np.full(len(left), here), left))
+                if p.sum() > 0:
+                    break
+                self._open[d][result][1][at] = -np.inf  # nothing is left there after all: the next node
             if last:
                 self.threshold[d] = best
+            if best == -np.inf or last:
                 continue
-            node, length = self.nodes[d][result], self.lengths[d][result]
-            at = int(node[step])
-            gone = self._taken[d].setdefault((result, step), [int(length[step])])
-            edges = np.flatnonzero(np.diff(self.lattices.reach[at], prepend=np.float32(0)) > 0) + 1
-            edges = edges[~np.isin(edges, gone)]
-            if not len(edges):  # below the precision of the running sums
-                self._open[d][result][step] = -np.inf
-                continue
-            p = np.exp(self.lattices.log_edge(np.full(len(edges), at), edges))
-            u = _uniform(self.seeds[d : d + 1], np.array([1_000_003 * rank + 7]))[0]
-            pick = int(edges[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(edges) - 1)])
-            gone.append(pick)
-            remains = p.sum() - p[edges == pick][0]
-            before = self.lattices.log_edge(node[:step], length[:step]).sum() if step else 0.0
-            location = before + np.log(remains) if len(edges) > 1 and remains > 0 else -np.inf
-            u = _uniform(self.seeds[d : d + 1], np.array([1_000_003 * rank + 11]))
-            self._open[d][result][step] = _truncated(np.array([location]), np.array([best]), u)[0]
+            seed = self.seeds[d : d + 1]
+            running = np.cumsum(p)
+            pick = int(np.searchsorted(running, _uniform(seed, np.uint64(1_000_003 * rank + 7))[0] * running[-1], side="right"))
+            pick = min(pick, len(left) - 1)
+            gone.append(int(left[pick]))
+            before = lattices.log_edge(node[:step], edge[:step]).sum() if step else 0.0
+            remains = np.delete(p, pick).sum()
+            location = before + np.log(remains) if remains > 0 else -np.inf
+            self._open[d][result][1][at] = _truncated(np.array([location]), np.array([best]), _uniform(seed, np.uint64(1_000_003 * rank + 11)))[0]
             # The rest of the unit, if the new edge doesn't end it, then the units behind it.
-            unit = int((self.lattices.code[node[: step + 1] + length[: step + 1]] == 0).sum()) - int(self.lattices.code[at + length[step]] == 0)
+            unit = int(np.count_nonzero(lattices.code[node[:step] + lattices.length[edge[:step]]] == 0))
             behind = self.starts[self.unit_first[d] + unit + 1 : self.unit_first[d + 1]]
-            if self.lattices.code[at + pick] > 0:
-                behind = np.append(at + pick, behind)
+            goal = here + int(lattices.length[left[pick]])
+            if lattices.code[goal] > 0:
+                behind = np.append(goal, behind)
             who.append(d), tops.append(best), nodes.append(node[: step + 1]), starts.append(behind), sizes.append(len(behind))
-            lengths.append(np.append(length[:step], pick))
+            edges.append(np.append(edge[:step], left[pick]))
         if who:
-            self._extend(np.array(who), nodes, lengths, np.concatenate(starts), np.array(sizes, dtype=np.int64), np.array(tops), rank)
+            self._extend(np.array(who), nodes, edges, np.concatenate(starts), np.array(sizes, dtype=np.int64), np.array(tops), rank)
 
     def ids(self, d: int, result: int) -> np.ndarray:
         node, piece = self.nodes[d][result], self.pieces[d][result]
@@ -431,6 +515,25 @@ def segmentations(lattices: Lattices, keys: list, texts: list[str | None], k: in
     return [[(sampler.ids(d, r), sampler.log_p[d][r], sampler.values[d][r], sampler.inclusion(d, r)) for r in range(len(sampler.nodes[d]))] for d in range(len(texts))]
 
 
+def round_trips(words: Vocabulary, texts: list[str | None], found: list[list[tuple]]) -> list[bool]:
+    """For each row of each text, do its pieces decode to the text. All are decoded at once, and held against the text's bytes."""
+    ids = [row[0] for rows in found for row in rows]
+    if not ids:
+        return []
+    every = np.concatenate(ids).astype(np.int64)
+    data = words.joined(every)
+    sizes = np.append(0, np.cumsum(words.sizes[every]))
+    ends = np.cumsum([len(x) for x in ids])
+    cuts = np.append(0, sizes[ends]).tolist()
+    out, at = [], 0
+    for text, rows in zip(texts, found, strict=True):
+        want = (" " + text.replace("▁", " ")).encode("utf-8", "surrogatepass") if text else b""
+        for _ in rows:
+            out.append(data[cuts[at] : cuts[at + 1]] == want)
+            at += 1
+    return out
+
+
 def _portions(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of some BATCH bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -454,23 +557,16 @@ def _rows(key: str, k: int, path: str, full: bool):
         for whole in batches:
             for batch in _portions(whole, "text"):
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                row, ranks, counts, numbers, lists, digests, decoded, good = [], [], [], [], [], [], [], []
-                for d, found in enumerate(segmentations(lattices, keys, texts, k)):
-                    want = (texts[d] or "").replace("▁", " ")
-                    for r, (ids, *values) in enumerate(found):
-                        row.append(d), ranks.append(r + 1), counts.append(len(ids)), numbers.append(values)
-                        text = words.decode(ids)
-                        if full:
-                            lists.append(ids), decoded.append(text)
-                        else:
-                            digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()), good.append(text == want)
-                take = pa.array(row, pa.int64())
-                out = {key: batch.column(0).take(take), "rank": pa.array(ranks, pa.int32()), "n_pieces": pa.array(counts, pa.int32())}
-                out |= {x: pa.array([v[i] for v in numbers], pa.float64()) for i, x in enumerate(("log_prob", "perturbed", "inclusion"))}
+                found = segmentations(lattices, keys, texts, k)
+                flat = [(d, r, *row) for d, rows in enumerate(found) for r, row in enumerate(rows, 1)]
+                take = pa.array([x[0] for x in flat], pa.int64())
+                out = {key: batch.column(0).take(take), "rank": pa.array([x[1] for x in flat], pa.int32()), "n_pieces": pa.array([len(x[2]) for x in flat], pa.int32())}
+                out |= {x: pa.array([v[i] for v in flat], pa.float64()) for i, x in enumerate(("log_prob", "perturbed", "inclusion"), 3)}
                 if full:
-                    out |= {"ids": pa.array(lists, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string()), "text": batch.column(1).take(take)}
+                    out |= {"ids": pa.array([x[2] for x in flat], pa.list_(pa.int32())), "decoded": pa.array([words.decode(x[2]) for x in flat], pa.string()), "text": batch.column(1).take(take)}
                 else:
-                    out |= {"ids_sha256": pa.array(digests, pa.string()), "round_trip": pa.array(good, pa.bool_())}
+                    digests = [hashlib.sha256(x[2].astype("<i4").tobytes()).hexdigest() for x in flat]
+                    out |= {"ids_sha256": pa.array(digests, pa.string()), "round_trip": pa.array(round_trips(words, texts, found), pa.bool_())}
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -509,7 +605,7 @@ def segmented(documents: DataFrame, key: str = "doc_id", path: str = VOCABULARY,
                 texts = batch.column(at("text")).to_pylist()
                 found = segmentations(lattices, batch.column(at(key)).to_pylist(), texts, k)
                 flat = [(d, *row) for d, rows in enumerate(found) for row in rows]
-                good = [words.decode(ids) == (texts[d] or "").replace("▁", " ") for d, ids, *_ in flat]
+                good = round_trips(words, texts, found)
                 numbers = [pa.array([x[i] for x in flat], pa.float64()) for i in (2, 3, 4)]
                 each = pa.StructArray.from_arrays([pa.array([x[1] for x in flat], pa.list_(pa.int32())), *numbers, pa.array(good, pa.bool_())], fields=list(kind))
                 several = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32()), each)
