@@ -105,3 +105,20 @@ def test_same_as_a_dictionary(spark, log, random_):
     rows = [(k, v, v is None, i % 7, i // 7) for i, (k, v) in enumerate(log)]
     random.Random(random_.random()).shuffle(rows)
     assert pairs(resolve.live_view(frame(spark, rows), "key", ("gen", "seq"))) == want
+
+
+def test_places_of_wide_rows(spark):
+    """Both evaluations of the ranges must agree, whatever adaptive execution makes of them."""
+    from tidelog.plans.registry import _placed
+
+    n, held = 200_000, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",)}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.sha2(F.repeat(F.col("id").cast("string"), 20), 512).alias("wide"))
+        got = _placed(df, "k")
+        assert got.columns == ["k", "wide", "place"]
+        assert got.agg(F.count("*"), F.sum((F.col("place") != F.col("k") + 1).cast("int")), F.countDistinct("wide")).first()[:] == (n, 0, n)
+        assert _placed(df.where("false"), "k").count() == 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

@@ -136,8 +136,8 @@ def test_flush_during_compaction_stays_newer(spark, tmp_path):
     other = open_table(spark, str(tmp_path / "t"), QUIET)
     inner = t._sorted_run
 
-    def meanwhile(df, parts):
-        run = inner(df, parts)
+    def meanwhile(parts, purge):
+        run = inner(parts, purge)
         other.put([(b"k", b"3")])
         other.flush()
         return run
@@ -157,7 +157,7 @@ def test_readers_keep_their_version(spark, tmp_path):
     t.flush()
     t.compact(force=True)
     assert bytes(view.collect()[0]["value"]) == b"1"
-    assert t.vacuum() == 0 and t.vacuum(grace=0) == 4
+    assert t.vacuum() == 0 and t.vacuum(grace=0) == 4 + 5  # segments and runs, and manifests
     assert t.get(b"a") == b"2"
 
 
@@ -171,7 +171,7 @@ def test_files_outside_the_manifest_are_ignored(spark, tmp_path):
 
 
 def test_multi_get_both_ways_and_scan(spark, tmp_path):
-    t = open_table(spark, str(tmp_path / "t"), TableOptions(auto_flush=False, broadcast_keys=2))
+    t = open_table(spark, str(tmp_path / "t"), TableOptions(auto_flush=False, pushed_keys=2))
     t.put(rows("k-%03d", "v-%03d", 50))
     t.delete([b"k-010"])
     for n in (2, 5):
@@ -190,6 +190,66 @@ def test_absent_keys_read_no_rows_of_a_run(spark, tmp_path):
     assert "EqualTo(key" in plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_single_run_is_read_without_a_shuffle(spark, tmp_path):
+    t = open_table(spark, str(tmp_path / "t"), QUIET)
+    t.put(rows("a-%03d", "v-%03d", 40))
+    t.flush()
+    assert "Exchange" not in plan_of(t.live()) and "Sort" not in plan_of(t.live())
+    t.put(rows("b-%03d", "v-%03d", 40))  # another key range
+    t.flush()
+    assert "Exchange" not in plan_of(t.live()) and t.live().count() == 80
+    t.delete([b"a-005"])
+    assert "Exchange" in plan_of(t.live()) and t.live().count() == 79
+
+
+def test_lookups_open_the_files_of_their_ranges(spark, tmp_path):
+    t = open_table(spark, str(tmp_path / "t"), TableOptions(auto_flush=False, auto_compact=False, file_bytes=1_000))
+    t.put(rows("key-%06d", "value-%06d", 400))
+    t.delete([b"key-000100"])
+    t.flush()
+    t.compact(force=True)
+    (run,) = t.manifest.runs
+    assert run.ranges and spark.read.parquet(run.ranges).count() > 5
+    assert t.get(b"key-000007") == b"value-000007" and live(t)[b"key-000399"] == b"value-000399" and len(live(t)) == 399
+    with pytest.raises(KeyNotFound):
+        t.get(b"key-000100")
+    some = t._lookup((run,), [b"key-000007", b"key-000350", b"zzz"])
+    assert 1 <= len(some.inputFiles()) <= 2 and "Exchange" not in plan_of(some)
+    keys = spark.createDataFrame([("key-000007",), ("key-000350",), ("key-000100",), ("zzz",)], "key string")
+    found = t.multi_get(keys)
+    assert {bytes(r["key"]): r["found"] for r in found.collect()} == {b"key-000007": True, b"key-000350": True, b"key-000100": False, b"zzz": False}
+    assert "In(key" in plan_of(found) or "In([key" in plan_of(found)
+    assert {bytes(r["key"]): r["status"] for r in t.status(keys).collect()}[b"key-000100"] == "absent"
+    assert t.successor(b"key-000099") == (b"key-000101", b"value-000101")
+    with pytest.raises(KeyNotFound):
+        t.successor(b"key-000399")
+
+
+def test_vacuum_takes_orphans_and_old_manifests(spark, tmp_path):
+    t = open_table(spark, str(tmp_path / "t"), QUIET)
+    for k in range(4):
+        t.put([(b"a", b"%d" % k)])
+    t.flush()
+    (tmp_path / "t" / "segments" / "orphan").mkdir()
+    assert t.vacuum(grace=0) == 4 + 5 and (tmp_path / "t" / "segments" / "orphan").exists()
+    assert t.vacuum(grace=0, orphan_seconds=-60) == 1 and not (tmp_path / "t" / "segments" / "orphan").exists()
+    assert t.store.versions() == [t.manifest.version] and t.get(b"a") == b"3" and t.vacuum(grace=0, orphan_seconds=-60) == 0
+
+
+def test_maintenance_in_the_background(spark, tmp_path):
+    t = open_table(spark, str(tmp_path / "t"), TableOptions(memtable_bytes=1, compaction_threshold=2, background=True))
+    for k in range(4):
+        t.put([(b"k%d" % k, b"v")])
+    t.wait()
+    assert len(t._fresh().segments) == 0 and live(t) == {b"k%d" % k: b"v" for k in range(4)}
+    t.close()
+    t.close()
+
+
 def test_stream_batches_apply_once(spark, tmp_path):
     t = open_table(spark, str(tmp_path / "t"), QUIET)
     one = spark.createDataFrame([(bytearray(b"k"), bytearray(b"1"), False)], "key binary, value binary, tombstone boolean")

@@ -3,6 +3,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog import repl
 from tidelog.functions.codec import crc32c, crc32c_many, decode_entries, encode_entries, pack_entry, unpack_entries
@@ -60,6 +61,10 @@ def test_log_files(spark, tmp_path):
     assert seen == {b"big", *(b"key-%06d" % i for i in (0, 2, 3, 4))}
     wire.write_log(got.drop("file", "dropped_bytes").where("seq < 3"), f"file://{tmp_path}/out/3.wal")
     assert wire.read_log(spark, str(tmp_path / "out")).count() == 5
+    more = spark.createDataFrame([(bytearray(b"k"), bytearray(x), 1, False, 0) for x in (b"old",)], "key binary, value binary, ts_nanos bigint, tombstone boolean, seq bigint")
+    for x in (b"old", b"new"):  # what is appended later is newer
+        path = wire.append_log(more.withColumn("value", F.lit(bytearray(x))), f"file://{tmp_path}/appended")
+    assert path.endswith("/000002.wal") and [bytes(r["value"]) for r in wire.replay(spark, str(tmp_path / "appended")).collect()] == [b"new"]
 
 
 def test_log_limits():
@@ -94,8 +99,26 @@ def test_run_files(spark, tmp_path):
     (tmp_path / "a.sst").write_bytes(wire.pack_run(entries(300)))
     got = wire.read_run(spark, str(tmp_path / "a.sst"))
     assert got.count() == 300 and got.where("tombstone").where("value is not null").count() == 0
-    wire.write_run(got, f"file://{tmp_path}/b.sst")
-    assert list(wire.run_entries((tmp_path / "b.sst").read_bytes())) == entries(300)
+    for files in (1, 3):
+        path = tmp_path / f"b{files}.sst"
+        wire.write_run(got, f"file://{path}", files)
+        parts = sorted(path.glob("part-*"))
+        assert len(parts) == files and [e for x in parts for e in wire.run_entries(x.read_bytes())] == entries(300)
+    assert parts[0].read_bytes() == wire.pack_run(list(wire.run_entries(parts[0].read_bytes())))
+    keys = [b"key-000007", b"key-000299", b"absent", b""]
+    assert {bytes(r["key"]) for r in wire.read_run(spark, str(path), keys).collect()} == set(keys[:2])
+    index = wire.read_index(spark, str(tmp_path / "b1.sst"))
+    assert index.count() == len(wire.run_index((tmp_path / "a.sst").read_bytes())) and bytes(index.where("block = 0").first()["first_key"]) == b"key-000000"
+    wire.write_run(got.where("false"), f"file://{tmp_path}/none.sst")
+    assert wire.read_run(spark, str(tmp_path / "none.sst")).count() == 0 and wire.read_run(spark, str(tmp_path / "none.sst"), keys).count() == 0
+
+
+def test_run_get_decodes_single_blocks():
+    data = wire.pack_run(entries(3_000))
+    assert len(wire.run_index(data)) > 10
+    for k in (0, 1, 1_499, 2_999):
+        assert list(wire.run_get(data, [entries(3_000)[k][0], b"none", b"zzz"])) == [entries(3_000)[k]]
+    assert list(wire.run_get(data, [])) == [] and list(wire.run_get(wire.pack_run([]), [b"a"])) == []
 
 
 def test_entries(spark):
@@ -138,8 +161,9 @@ def test_streaming_state(spark, tmp_path):
     (tmp_path / "in").mkdir()
     source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     spark.createDataFrame([("a", 1, False), ("a", 2, False), ("b", 1, False)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
-    spark.createDataFrame([("a", 3, True)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
-    view = live.changes(source(), ["k"], "n", "gone")
+    spark.createDataFrame([("a", 3, True), ("b", 0, False)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
+    spark.createDataFrame([("a", 1, False)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "3"))  # older than the delete
+    view = live.changes(source(), ["k"], "n")
     view.writeStream.outputMode("update").format("memory").queryName("changes_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(tuple(r) for r in spark.table("changes_out").collect()) == [("a", 2, False), ("a", 3, True), ("b", 1, False)]
     whole = live.live_aggregate(source(), ["k"], "n", "gone")

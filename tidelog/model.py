@@ -25,16 +25,19 @@ MUTATION = StructType(
 @dataclass(frozen=True)
 class TableOptions:
     """memtable_bytes: pending bytes at which apply() flushes; compaction_threshold: runs at which flush() compacts; grace_versions: manifest versions for
-    which retired files stay; broadcast_keys: the most keys a lookup may broadcast; file_bytes: of a run's files, about."""
+    which retired files stay; pushed_keys: the most keys of a lookup that go into the scan's filter; broadcast_bytes: the most bytes of keys that a lookup
+    may broadcast; file_bytes: of a run's files, about; background: flushes and compactions that writes bring about run in a thread of their own."""
 
     memtable_bytes: int = 4 << 20
     compaction_threshold: int = 4
     auto_flush: bool = True
     auto_compact: bool = True
     grace_versions: int = 8
-    broadcast_keys: int = 100_000
+    pushed_keys: int = 200
+    broadcast_bytes: int = 16 << 20
     file_bytes: int = 128 << 20
     bloom_fpp: float = 0.01
+    background: bool = False
 
     def __post_init__(self):
         if self.memtable_bytes <= 0:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,33 +74,34 @@ def _set(keys: list[bytes], bits: int, hashes: int) -> np.ndarray:
 
 #: A filter is one value on the driver and in every executor; beyond so many bytes, partition the keys and build one each.
 MOST_BYTES = 256 << 20
-_PIECE = 1 << 16
+_PIECE, _FAN = 1 << 16, 64
 
 
 def build(df: DataFrame, key: str, rate: float = 0.01, items: int | None = None) -> Bloom:
-    """The filter over a binary or text column. Null keys count as empty. Partial filters are merged in pieces of 64 KiB, in parallel."""
+    """The filter over a binary or text column. Null keys count as empty. Partial filters are merged in pieces of 64 KiB, first in _FAN parts."""
     keys = df.select(F.coalesce(F.col(key).cast("binary"), F.lit(b"")).alias("key"))
     bits, hashes = bloom_bits(keys.count() if items is None else items, rate)
     if bits // 8 > MOST_BYTES or bits >= 1 << 32:
         raise ValueError(f"the filter would have {bits // 8} bytes; build one for each part of the keys")
 
     def partial(batches):
-        held = None
+        held, task = None, TaskContext.get().partitionId() % _FAN
         for b in batches:
             own = _set(b.column(0).to_pylist(), bits, hashes)
             held = own if held is None else held | own
         if held is not None:
             pieces = [(at, held[at : at + _PIECE].tobytes()) for at in range(0, len(held), _PIECE) if held[at : at + _PIECE].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int64()), pa.array([p[1] for p in pieces], pa.binary())], names=["at", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int64()), pa.array([task] * len(pieces), pa.int64()), pa.array([p[1] for p in pieces], pa.binary())], names=["at", "part", "bits"])
 
     def either(group: pa.Table) -> pa.Table:
         merged = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in group.column("bits").to_pylist()])
-        return pa.table({"at": group.column("at")[:1], "bits": pa.array([merged.tobytes()], pa.binary())})
+        return pa.table({"at": group.column("at")[:1], "part": group.column("part")[:1], "bits": pa.array([merged.tobytes()], pa.binary())})
 
-    schema = "at bigint, bits binary"
+    schema = "at bigint, part bigint, bits binary"
     whole = np.zeros(-(-bits // 8), dtype=np.uint8)
-    for r in keys.mapInArrow(partial, schema).groupBy("at").applyInArrow(either, schema).collect():  # MOST_BYTES at most
-        whole[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
+    merged = keys.mapInArrow(partial, schema).groupBy("at", "part").applyInArrow(either, schema).groupBy("at").applyInArrow(either, schema)
+    for r in merged.collect():  # MOST_BYTES at most
+        whole[r["at"] : r["at"] + len(r["bits"])] |= np.frombuffer(r["bits"], dtype=np.uint8)
     return Bloom(bits, hashes, whole.tobytes())
 
 

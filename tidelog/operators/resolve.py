@@ -50,9 +50,11 @@ def shadowed(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*_columns(keys)).agg((F.count(F.lit(1)) - 1).alias("shadowed"))
 
 
-def status(probes: DataFrame, df: DataFrame, key: str, order, tombstone: str = "tombstone") -> DataFrame:
-    """key and status (live, deleted or absent) of each probe."""
-    newest = latest(df.select(key, *[c for c in (*_columns(order), tombstone) if c != key]).distinct(), key, order)
+def status(probes: DataFrame, df: DataFrame, key: str, order, tombstone: str = "tombstone", broadcast: bool = False) -> DataFrame:
+    """key and status (live, deleted or absent) of each probe. Probes reach the rows before these are resolved."""
+    wanted = probes.select(key).distinct()
+    side = F.broadcast(wanted) if broadcast else wanted
+    newest = latest(df.select(key, *[c for c in (*_columns(order), tombstone) if c != key]).join(side, key, "left_semi"), key, order)
     kind = F.when(F.col(tombstone).isNull(), "absent").when(F.col(tombstone), "deleted").otherwise("live")
     return probes.select(key).join(newest, key, "left").select(key, kind.alias("status"))
 

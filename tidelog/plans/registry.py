@@ -51,10 +51,22 @@ def _gen() -> Column:
     return F.floor(F.col("event_id") / CHUNK).cast("long")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is configured, a temporary one does in local mode, and nothing does on a cluster."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="tidelog-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    return base
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidelog-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _latest(df: DataFrame) -> DataFrame:
@@ -254,13 +266,18 @@ def ordered_scan(spark, sf_dir):
 
 
 def _placed(df: DataFrame, key: str) -> DataFrame:
-    """df with `place`, its rank by a unique key, without gathering the rows in one task."""
-    parts = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    """df with `place`, its rank by a unique key, without gathering the rows in one task.
+
+    The rows are sorted into ranges and written once, each with its partition and its place there. Counts and ranks
+    come from what was written, so that they agree whatever a second evaluation of the ranges would have given.
+    """
+    _shared(df.sparkSession)
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     # a row a partition: the window and the broadcast side are bounded by the number of partitions
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn("place", (F.col("_rank") + F.col("_before")).cast("long")).drop("_part", "_rank", "_before")
+    return ordered.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("place", (at + F.col("_before") + 1).cast("long")).drop("_part", "_id", "_before")
 
 
 _ENTRY = 37
@@ -437,7 +454,17 @@ def stream_live_view(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
     rows = source.select(*_EVENTS).withColumn("tombstone", _tombstone())
-    name = f"live_{uuid.uuid4().hex}"
     view = live.live_aggregate(rows, ["user_id"], "event_id", "tombstone").drop("tombstone")
-    view.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return live.drained(view, _scratch(spark, "view"), _scratch(spark, "checkpoint"))
+
+
+@query(_LATEST_SQL)
+def stream_changes(spark, sf_dir):
+    """The changelog of newest rows kept by a stateful stream; the newest change of each key is its newest version."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    rows = source.select(*_EVENTS).withColumn("tombstone", _tombstone())
+    path = _scratch(spark, "changes")
+    writer = live.changes(rows, ["user_id"], "event_id").writeStream.outputMode("update").option("checkpointLocation", _scratch(spark, "checkpoint"))
+    writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    return _latest(spark.read.parquet(path).select(*_EVENTS))

@@ -9,9 +9,11 @@ run file:   blocks (entry count u32, entries, zeros up to 4096 bytes), index (co
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +124,18 @@ def write_log(df: DataFrame, path: str, order: str = "seq") -> None:
     _write_file(df.sparkSession, path, pieces())
 
 
+def append_log(df: DataFrame, folder: str, order: str = "seq") -> str:
+    """The records as the next log file of a folder, whose files are replayed in the order of their names. Returns its path."""
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in system.listStatus(root)] if system.exists(root) else []
+    number = max((int(x[:-4]) for x in names if x.endswith(".wal") and x[:-4].isdigit()), default=0) + 1
+    path = f"{folder.rstrip('/')}/{number:06d}.wal"
+    write_log(df, path, order)
+    return path
+
+
 def _bytes(x) -> bytes | None:
     return None if x is None else bytes(x)
 
@@ -180,39 +194,88 @@ def run_index(data: bytes) -> list[tuple[bytes, int, int]]:
     return out
 
 
+def block_entries(data: bytes, offset: int, length: int) -> Iterator[tuple[bytes, bytes | None, int, bool]]:
+    (count,) = struct.unpack_from("<I", data, offset)
+    at, end = offset + 4, offset + length
+    for _ in range(count):
+        if at + RUN.size > end:
+            raise CorruptFile("a block is cut short")
+        keys, values, tombstone, ts = RUN.unpack_from(data, at)
+        at += RUN.size
+        if at + keys + values > end:
+            raise CorruptFile("a block is cut short")
+        yield data[at : at + keys], None if tombstone else data[at + keys : at + keys + values], ts - (ts >> 63 << 64), bool(tombstone)
+        at += keys + values
+
+
 def run_entries(data: bytes) -> Iterator[tuple[bytes, bytes | None, int, bool]]:
     for _, offset, length in run_index(data):
-        (count,) = struct.unpack_from("<I", data, offset)
-        at, end = offset + 4, offset + length
-        for _ in range(count):
-            if at + RUN.size > end:
-                raise CorruptFile("a block is cut short")
-            keys, values, tombstone, ts = RUN.unpack_from(data, at)
-            at += RUN.size
-            if at + keys + values > end:
-                raise CorruptFile("a block is cut short")
-            yield data[at : at + keys], None if tombstone else data[at + keys : at + keys + values], ts - (ts >> 63 << 64), bool(tombstone)
-            at += keys + values
-
-
-def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """key, value, ts_nanos, tombstone and file of every entry of the run files."""
+        yield from block_entries(data, offset, length)
+
+
+def run_get(data: bytes, keys: list[bytes]) -> Iterator[tuple[bytes, bytes | None, int, bool]]:
+    """The entries of the keys that the run holds: those that pass its filter are looked for in the one block that may hold them."""
+    index = run_index(data)
+    if not index or not keys:
+        return
+    at, size = FOOTER.unpack_from(data, len(data) - FOOTER.size)[2:4]
+    passed = Bloom.load(data[at : at + size]).may_contain(keys)
+    firsts, wanted = [x[0] for x in index], {}
+    for key in (k for k, p in zip(keys, passed, strict=True) if p):
+        block = bisect_right(firsts, key) - 1
+        if block >= 0:
+            wanted.setdefault(block, set()).add(key)
+    for block, some in sorted(wanted.items()):
+        yield from (e for e in block_entries(data, *index[block][1:]) if e[0] in some)
+
+
+def _run_rows(name: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 20_000):
+        part = rows[at : at + 20_000]
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
+        columns = [pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * len(part))], names=["key", "value", "ts_nanos", "tombstone", "file"])
+
+
+def read_run(spark: SparkSession, path: str, keys: list[bytes] | None = None) -> DataFrame:
+    """key, value, ts_nanos, tombstone and file of every entry of the run files, or of those of some keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = list(run_entries(content.as_py()))
-                for at in range(0, len(rows), 20_000):
-                    part = rows[at : at + 20_000]
-                    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
-                    columns = [pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * len(part))], names=["key", "value", "ts_nanos", "tombstone", "file"])
+                data = content.as_py()
+                yield from _run_rows(name, list(run_entries(data) if keys is None else run_get(data, keys)))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"{_ROW}, file string")
 
 
-def write_run(df: DataFrame, path: str) -> None:
-    """One run file of resolved rows. Its index and filter stand at the end, so the entries pass through the driver; for large data
-    export a file for each key range."""
-    rows = df.select("key", "value", "ts_nanos", "tombstone").orderBy("key").toLocalIterator()
-    _write_file(df.sparkSession, path, iter([pack_run([(_bytes(r[0]) or b"", _bytes(r[1]), r[2], r[3]) for r in rows])]))
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, first_key, offset and length of every block of the run files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [(name, i, *x) for i, x in enumerate(run_index(content.as_py()))]
+                kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "block", "first_key", "offset", "length"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block bigint, first_key binary, offset bigint, length bigint")
+
+
+def write_run(df: DataFrame, path: str, files: int = 1) -> None:
+    """Resolved rows as run files below path, one for each of `files` ranges of keys, written by the executors.
+
+    A file is one value of Spark's text writer, whose line separator is the magic number that ends it; so commits are atomic and any file
+    system will do. A file is built in memory: choose `files` so that each has some 100 MB.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = [e for b in batches for e in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
+        if entries or TaskContext.get().partitionId() == 0:  # no rows at all are a run without blocks
+            data = pack_run([(k or b"", v, t, d) for k, v, t, d in entries])
+            yield pa.RecordBatch.from_pydict({"file": pa.array([data[:-8]], pa.binary())})
+
+    rows = df.select("key", "value", "ts_nanos", "tombstone")
+    rows = rows.repartitionByRange(files, "key") if files > 1 else rows.coalesce(1)
+    packed = rows.sortWithinPartitions("key").mapInArrow(pack, "file binary")
+    packed.select(F.col("file").cast("string").alias("value")).write.option("lineSep", struct.pack("<Q", MAGIC).decode()).text(path)

@@ -8,43 +8,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 
 class _Newest(StatefulProcessor):
-    """Keeps a key's newest row by arrival: batches follow each other, within a batch the largest order wins. A delete clears the key."""
+    """Keeps the order of a key's newest row, tombstones included, so that an older row of a later batch neither wins nor revives a deleted key."""
 
-    def __init__(self, keys: list[str], order: str, tombstone: str, names: list[str], schema: StructType):
-        self.keys, self.order, self.tombstone, self.names, self.schema = keys, order, tombstone, names, schema
+    def __init__(self, order: str, names: list[str]):
+        self.order, self.names = order, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("newest", "order bigint")
+        self.newest = handle.getValueState("newest", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
+        best, at = None, self.newest.get()[0] if self.newest.exists() else None
         for part in rows:
-            top = part.loc[part[self.order].idxmax()]
-            if best is None or top[self.order] > best[self.order]:
-                best = top
-        if best is None:
-            return
-        if best[self.tombstone]:
-            self.row.clear()
-        else:
-            self.row.update((int(best[self.order]),))
-        yield pd.DataFrame([best])[self.names]
+            top = part.loc[[part[self.order].idxmax()]]
+            if at is None or int(top[self.order].iloc[0]) > at:
+                best, at = top, int(top[self.order].iloc[0])
+        if best is not None:
+            self.newest.update((at,))
+            yield best[self.names]
 
     def close(self) -> None:
         pass
 
 
-def changes(stream: DataFrame, keys: list[str], order: str, tombstone: str) -> DataFrame:
-    """In update mode, for each micro-batch the newest row of each key in it, tombstones included: a changelog with one row a key and batch.
+def changes(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """In update mode, the rows that become the newest of their keys, one a key and micro-batch, tombstones included.
 
-    State is bounded by the live keys. Needs the RocksDB state store.
+    `order` is a long; of equal ones the first to come stays. State is one long for each key seen. Needs the RocksDB state store.
     """
-    processor = _Newest(keys, order, tombstone, stream.columns, stream.schema)
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, stream.schema, "Update", "None")
+    return stream.groupBy(*keys).transformWithStateInPandas(_Newest(order, stream.columns), stream.schema, "Update", "None")
 
 
 def live_aggregate(stream: DataFrame, keys: list[str], order: str, tombstone: str) -> DataFrame:
@@ -52,3 +46,16 @@ def live_aggregate(stream: DataFrame, keys: list[str], order: str, tombstone: st
     rest = [c for c in stream.columns if c not in keys]
     newest = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_newest"))
     return newest.where(~F.col(f"_newest.{tombstone}")).select(*keys, *[F.col(f"_newest.{c}").alias(c) for c in rest])
+
+
+def drained(view: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The view after all that its sources hold now. Each micro-batch is written by the executors; the last one counts."""
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number:08d}")
+        last[:] = [number]
+
+    view.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = view.sparkSession
+    return spark.read.parquet(f"{path}/batch-{last[0]:08d}") if last else spark.createDataFrame([], view.schema)

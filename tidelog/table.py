@@ -3,12 +3,16 @@
 A batch of mutations becomes one segment (its Parquet commit is the durability point), pending until flush() resolves the pending
 ones into a sorted run. compact() merges all runs and purges tombstones, which is only right since the oldest run is among
 them. Reads pin a manifest version and resolve by (gen, seq).
+
+A run holds each key once, so parts are resolved only where their key ranges meet: a run that meets no other part is read as it is, without
+a shuffle. The key range of every file of a run is listed beside it, and lookups open those files alone that may hold a key.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, replace
 from functools import reduce
 
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .functions.sizes import byte_length, log_bytes, memory_bytes
 from .manifest import Manifest, Part, Store
-from .model import KEY_LIMIT, MUTATION, CommitConflict, KeyNotFound, TableClosed, TableOptions
+from .model import BLOCK_BYTES, KEY_LIMIT, MUTATION, CommitConflict, KeyNotFound, TableClosed, TableOptions
 from .operators import resolve
 
 _INPUT = "key binary, value binary, tombstone boolean, ord bigint"
@@ -34,6 +38,8 @@ class KeyedTable:
         self.spark, self.options, self._closed = spark, options, False
         self.store = Store(spark, path)
         self.manifest = self.store.read()
+        self._worker = ThreadPoolExecutor(1, thread_name_prefix="maintenance") if options.background else None
+        self._work: list[Future] = []
 
     # ------------------------------------------------------------ writes
 
@@ -77,7 +83,10 @@ class KeyedTable:
 
         self._commit(add)
         if self.options.auto_flush and sum(x.bytes for x in self.manifest.segments) >= self.options.memtable_bytes:
-            self.flush()
+            if self._worker:
+                self._work = [x for x in self._work if not x.done() or x.exception()] + [self._worker.submit(self.flush)]
+            else:
+                self.flush()
         return True
 
     def _frame(self, rows: Iterable[tuple]) -> DataFrame:
@@ -116,7 +125,7 @@ class KeyedTable:
         pending = now.segments
         if not pending:
             return False
-        run = self._sorted_run(resolve.latest(self._read(pending), "key", _ORDER), pending)
+        run = self._sorted_run(pending, purge=False)
 
         def swap(m: Manifest) -> Manifest:
             if m.segments[: len(pending)] != pending:
@@ -137,36 +146,72 @@ class KeyedTable:
         inputs = self._fresh().runs
         if len(inputs) < (1 if force else self.options.compaction_threshold) or not inputs:
             return False
-        run = self._sorted_run(resolve.purge(resolve.latest(self._read(inputs), "key", _ORDER)), inputs)
+        run = self._sorted_run(inputs, purge=True)
 
         def swap(m: Manifest) -> Manifest:
             if m.runs[: len(inputs)] != inputs:
                 raise CommitConflict("the runs are no longer the oldest ones")
-            return replace(m, runs=(*([run] if run else []), *m.runs[len(inputs) :]), retired=m.retired + tuple((x.path, m.version + 1) for x in inputs))
+            return replace(m, runs=(*([run] if run else []), *m.runs[len(inputs) :]), retired=m.retired + tuple((p, m.version + 1) for x in inputs for p in (x.path, x.ranges) if p))
 
         self._commit(swap)
         return True
 
-    def _sorted_run(self, rows: DataFrame, inputs: tuple[Part, ...]) -> Part | None:
-        files = max(1, -(-sum(x.log_bytes for x in inputs) // self.options.file_bytes))
-        ordered = (rows.repartitionByRange(files, "key") if files > 1 else rows.coalesce(1)).sortWithinPartitions("key")
-        return self._write(ordered.select(*[f.name for f in MUTATION if f.name != "gen"]), self.store.fresh("runs"), max(x.gen for x in inputs), bloom=True)
-
-    def vacuum(self, grace: int | None = None) -> int:
-        """Removes files retired for more versions than the grace. Returns how many paths."""
+    def _sorted_run(self, parts: tuple[Part, ...], purge: bool) -> Part | None:
+        """The newest versions of the parts' keys, sorted. Rows are dealt out by key range first, which serves resolution and order alike: one shuffle,
+        and the ranges' bounds come from a pass over the keys alone."""
+        files = max(1, -(-sum(x.log_bytes for x in parts) // self.options.file_bytes))
+        rows = self._read(parts)
+        if not purge:  # one of the segments may hold very many versions of a key: these are reduced before the shuffle
+            newest = resolve.latest(rows, "key", _ORDER)
+            ordered = newest.repartitionByRange(files, "key") if files > 1 else newest.coalesce(1)
+        else:
+            ordered = resolve.latest(rows.repartitionByRange(files, "key"), "key", _ORDER) if files > 1 else resolve.latest(rows, "key", _ORDER).coalesce(1)
+        if purge:
+            ordered = resolve.purge(ordered)
+        path = self.store.fresh("runs")
+        part = self._write(ordered.sortWithinPartitions("key").select(*[f.name for f in MUTATION if f.name != "gen"]), path, max(x.gen for x in parts), bloom=True)
+        if part is None or files == 1:
+            return part
+        ranges = self.store.fresh("ranges")
+        keys = self.spark.read.schema("key binary").parquet(path).select(F.input_file_name().alias("file"), "key")
+        keys.groupBy("file").agg(F.min("key").alias("lower"), F.max("key").alias("upper")).coalesce(1).write.parquet(ranges)
+        return replace(part, ranges=ranges)
+
+    def vacuum(self, grace: int | None = None, orphan_seconds: float = 86_400) -> int:
+        """Removes files retired for more versions than the grace, manifests older than that, and what failed writes have left: folders
+        that no kept manifest lists and that have not changed for `orphan_seconds` (longer than any write takes). Returns how many paths."""
         self._writable()
         now = self._fresh()
         grace = self.options.grace_versions if grace is None else grace
         old = [(p, v) for p, v in now.retired if now.version - v >= grace]
         if old:
             self._commit(lambda m: replace(m, retired=tuple(x for x in m.retired if x not in old)))
-            for path, _ in old:
-                self.store.remove(path)
-        return len(old)
+        now = self.manifest
+        kept = [now, *(m for v in self.store.versions() if v > now.version - max(grace, 1) and (m := self.store.read(v)))]
+        listed = {x for m in kept for part in (*m.segments, *m.runs) for x in (part.path, part.ranges)} | {p for p, _ in now.retired}
+        gone = {p for p, _ in old}
+        before = time.time() - orphan_seconds
+        gone |= {p for kind in ("segments", "runs", "ranges") for p, changed in self.store.listed(kind) if p not in listed and changed < before}
+        gone |= {self.store.manifest_path(v) for v in self.store.versions() if v <= now.version - max(grace, 1)}
+        for path in gone:
+            self.store.remove(path)
+        return len(gone)
+
+    def wait(self) -> None:
+        """Until the flushes and compactions in the background are done; raises what one of them raised."""
+        work, self._work = self._work, []
+        for x in work:
+            x.result()
 
     def close(self) -> None:
-        """Any number of times. Pending segments stay pending; later calls that write raise TableClosed."""
-        self._closed = True
+        """Any number of times; waits for work in the background. Pending segments stay pending; later calls, reads too, raise TableClosed."""
+        if not self._closed:
+            try:
+                self.wait()
+            finally:
+                self._closed = True
+                if self._worker:
+                    self._worker.shutdown()
 
     # ------------------------------------------------------------ reads
 
@@ -177,45 +222,91 @@ class KeyedTable:
 
     def live(self) -> DataFrame:
         """key, value and ts_nanos of all live keys; order by key for a scan."""
-        return resolve.live_view(self.versions(), "key", _ORDER).select("key", "value", "ts_nanos")
+        now = self._fresh()
+        return resolve.purge(self._newest((*now.runs, *now.segments))).select("key", "value", "ts_nanos")
 
     def scan(self, lower: bytes | None = None, upper: bytes | None = None) -> DataFrame:
         """Live rows with lower <= key < upper in key order; only parts whose key range meets the bounds are read."""
         now = self._fresh()
-        parts = [x for x in (*now.runs, *now.segments) if (upper is None or bytes.fromhex(x.min_key) < upper) and (lower is None or bytes.fromhex(x.max_key) >= lower)]
-        rows = self._read(tuple(parts))
-        if lower is not None:
-            rows = rows.where(F.col("key") >= F.lit(bytearray(lower)))
-        if upper is not None:
-            rows = rows.where(F.col("key") < F.lit(bytearray(upper)))
-        return resolve.live_view(rows, "key", _ORDER).select("key", "value", "ts_nanos").orderBy("key")
+        parts = tuple(x for x in (*now.runs, *now.segments) if (upper is None or bytes.fromhex(x.min_key) < upper) and (lower is None or bytes.fromhex(x.max_key) >= lower))
+        bounds = [] if lower is None else [F.col("key") >= F.lit(bytearray(lower))]
+        bounds += [] if upper is None else [F.col("key") < F.lit(bytearray(upper))]
+        within = reduce(Column.__and__, bounds) if bounds else None
+        return resolve.purge(self._newest(parts, within)).select("key", "value", "ts_nanos").orderBy("key")
 
     def get(self, key: bytes) -> bytes:
-        """The live value, by parts whose key range holds the key; in these, row groups by statistics and bloom filter."""
+        """The live value, from the files whose key range holds the key; in these, row groups by statistics and bloom filter."""
         now = self._fresh()
-        hexed = bytes(key).hex().upper()
-        parts = tuple(x for x in (*now.runs, *now.segments) if bytes.fromhex(x.min_key) <= bytes.fromhex(hexed) <= bytes.fromhex(x.max_key))
-        rows = self._read(parts).where(F.col("key") == F.lit(bytearray(key)))
-        found = resolve.live_view(rows, "key", _ORDER).select("value").take(1)
+        found = resolve.purge(self._lookup((*now.runs, *now.segments), [bytes(key)])).select("value").take(1)
         if not found:
             raise KeyNotFound(key)
         return bytes(found[0]["value"])
 
+    def successor(self, key: bytes) -> tuple[bytes, bytes]:
+        """The live row of the smallest key above `key`."""
+        found = self.scan(bytes(key) + b"\0").select("key", "value").limit(1).collect()
+        if not found:
+            raise KeyNotFound(key)
+        return bytes(found[0]["key"]), bytes(found[0]["value"])
+
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        """key, value and found of every distinct key. The keys are broadcast up to options.broadcast_keys of them, joined by shuffle beyond."""
-        probes = keys.select(F.coalesce(F.col("key").cast("binary"), F.lit(b"")).alias("key"))
-        small = len(probes.limit(self.options.broadcast_keys + 1).select(F.lit(1)).take(self.options.broadcast_keys + 1)) <= self.options.broadcast_keys
-        return resolve.multi_get(probes, self.versions(), "key", _ORDER, broadcast=small).select("key", "value", "found")
+        """key, value and found of every distinct key."""
+        probes, rows, small = self._probed(keys)
+        return resolve.multi_get(probes, rows, "key", _ORDER, broadcast=small).select("key", "value", "found")
 
     def status(self, keys: DataFrame) -> DataFrame:
         """key and status (live, deleted or absent); what compaction has purged is absent."""
-        return resolve.status(keys.select(F.col("key").cast("binary").alias("key")), self.versions(), "key", _ORDER)
+        probes, rows, small = self._probed(keys)
+        return resolve.status(probes, rows, "key", _ORDER, broadcast=small)
 
-    def _read(self, parts: tuple[Part, ...]) -> DataFrame:
+    def _probed(self, keys: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """(probes, rows that may answer them, may the probes be broadcast). Up to options.pushed_keys probes are filters of the scan; of more,
+        the smallest and the largest are, and they are broadcast up to options.broadcast_bytes, joined by shuffle beyond."""
+        probes = keys.select(F.coalesce(F.col("key").cast("binary"), F.lit(b"")).alias("key"))
+        now = self._fresh()
+        parts = (*now.runs, *now.segments)
+        few = {bytes(r["key"]) for r in probes.distinct().limit(self.options.pushed_keys + 1).collect()}
+        if len(few) <= self.options.pushed_keys:
+            return probes, self._lookup(parts, sorted(few)), True
+        seen = probes.agg(F.min("key").alias("lower"), F.max("key").alias("upper"), F.sum(F.octet_length("key") + 64).alias("bytes")).first()
+        met = tuple(x for x in parts if bytes.fromhex(x.min_key) <= bytes(seen["upper"]) and bytes.fromhex(x.max_key) >= bytes(seen["lower"]))
+        rows = self._read(met).where(F.col("key").between(F.lit(seen["lower"]), F.lit(seen["upper"])))
+        return probes, rows, seen["bytes"] <= self.options.broadcast_bytes
+
+    def _lookup(self, parts: tuple[Part, ...], keys: list[bytes]) -> DataFrame:
+        """The newest versions of a few keys, from the files that may hold one of them."""
+        may = lambda part: [k for k in keys if bytes.fromhex(part.min_key) <= k <= bytes.fromhex(part.max_key)]
+        parts = tuple(x for x in parts if may(x))
         if not parts:
-            return self.spark.createDataFrame([], MUTATION)
-        frames = [self.spark.read.schema("key binary, value binary, ts_nanos bigint, tombstone boolean, seq bigint").parquet(x.path).withColumn("gen", F.lit(x.gen).cast("long")) for x in parts]
-        return reduce(DataFrame.unionByName, frames)
+            return self._read(())
+        files = {x.path: self._files(x, may(x)) for x in parts if x.ranges}
+        wanted = F.col("key").isin([F.lit(bytearray(k)) for k in keys]) if len(keys) > 1 else F.col("key") == F.lit(bytearray(keys[0]))
+        return self._newest(parts, wanted, files)
+
+    def _files(self, part: Part, keys: list[bytes]) -> list[str]:
+        """Of a run's files those whose key range holds one of the keys, at most two a key."""
+        held = [(F.col("lower") <= F.lit(bytearray(k))) & (F.col("upper") >= F.lit(bytearray(k))) for k in keys]
+        listing = self.spark.read.schema("file string, lower binary, upper binary").parquet(part.ranges)
+        return sorted(r["file"] for r in listing.where(reduce(Column.__or__, held)).select("file").collect())
+
+    def _newest(self, parts: tuple[Part, ...], within: Column | None = None, files: dict[str, list[str]] | None = None) -> DataFrame:
+        """The newest version of every key (that is within), tombstones included. Parts whose key ranges don't meet are resolved apart, and a
+        run alone is resolved already."""
+        frames = []
+        for group in _meeting(parts):
+            rows = self._read(group, files)
+            rows = rows if within is None else rows.where(within)
+            frames.append(rows if len(group) == 1 and group[0] in self.manifest.runs else resolve.latest(rows, "key", _ORDER))
+        return reduce(DataFrame.unionByName, frames) if frames else self._read(())
+
+    def _read(self, parts: tuple[Part, ...], files: dict[str, list[str]] | None = None) -> DataFrame:
+        """All rows of the parts, of some of them only the given files."""
+        frames = []
+        for x in parts:
+            paths = (files or {}).get(x.path, [x.path])
+            if paths:
+                frames.append(self.spark.read.schema("key binary, value binary, ts_nanos bigint, tombstone boolean, seq bigint").parquet(*paths).withColumn("gen", F.lit(x.gen).cast("long")))
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], MUTATION)
 
     def stats(self) -> dict:
         now = self._fresh()
@@ -227,6 +318,7 @@ class KeyedTable:
             "log_bytes": sum(x.log_bytes for x in now.segments),
             "rows": sum(x.rows for x in (*now.runs, *now.segments)),
             "run_min_keys": [bytes.fromhex(x.min_key) for x in now.runs],
+            "run_blocks": [-(-x.log_bytes // BLOCK_BYTES) for x in now.runs],
             "parts": [asdict(x) for x in (*now.runs, *now.segments)],
         }
 
@@ -264,6 +356,18 @@ class KeyedTable:
                 time.sleep(0.01 * (k + 1))
 
 
+def _meeting(parts: tuple[Part, ...]) -> list[tuple[Part, ...]]:
+    """The parts in groups, so that key ranges meet only within a group."""
+    groups: list[tuple[bytes, list[Part]]] = []
+    for x in sorted(parts, key=lambda x: bytes.fromhex(x.min_key)):
+        low, high = bytes.fromhex(x.min_key), bytes.fromhex(x.max_key)
+        if groups and low <= groups[-1][0]:
+            groups[-1] = (max(high, groups[-1][0]), [*groups[-1][1], x])
+        else:
+            groups.append((high, [x]))
+    return [tuple(x) for _, x in groups]
+
+
 def value_column(*columns: str) -> Column:
     """Columns as one JSON value, for tables whose values are typed rows."""
     return F.to_json(F.struct(*columns)).cast("binary")
