@@ -209,7 +209,7 @@ def test_search_at_the_bound():
     for _ in range(n):  # 160 of 200 shingles in common: a cosine of 0.8
         every = chance.integers(0, 1 << 63, 240, dtype=np.uint64)
         sets += [np.sort(every[:200]), np.sort(every[40:])]
-    prints = alike.prints_of(sets)
+    prints = alike.prints_of(sets)[0]
     one, other = prints[0::2], prints[1::2]
     near = op4.apart(prints, np.arange(0, 2 * n, 2), np.arange(1, 2 * n, 2)) <= alike.BITS
     met = np.zeros(n, dtype=bool)
@@ -230,7 +230,7 @@ def test_dense_component_links_linearly():
     chance = np.random.default_rng(5)
     base = chance.integers(0, 1 << 63, 100, dtype=np.uint64)
     sets = [np.unique(np.append(np.delete(base, chance.integers(100)), chance.integers(0, 1 << 63, 3, dtype=np.uint64))) for _ in range(300)]
-    rows, roots = alike.linked(sets, alike.prints_of(sets), (4, 5))
+    rows, roots = alike.linked(sets, alike.prints_of(sets)[0], (4, 5))
     assert len(rows) == 299 and set(roots) == {0}
 
 
@@ -449,7 +449,37 @@ def brute_cuts(rows):
         for place, digest in op10.units((text or "").encode()):
             if first[digest] != (key, place):
                 cuts[key].append(place)
-    return {k: op10.without(t, cuts[k]) if k in cuts else t for k, t in rows}
+    return {k: op10.without(t, cuts[k])[0] if k in cuts else t for k, t in rows}
+
+
+def test_short_runs_stay():
+    text = words(random.Random(17), 300)
+    data = text.encode()
+    starts, count = [0, *op10.chunk_ends(data).tolist()], len(op10.chunk_ends(data))
+    for repeats in ([], [3], [3, 5], [3, 4, 5, 6], list(range(count - 1)), [count - 2], [0, 1, 2, 20, 21, 22, 23]):
+        want, cut, runs = bytearray(), 0, []
+        for k in repeats:
+            runs.append([*runs.pop(), k]) if runs and runs[-1][-1] == k - 1 else runs.append([k])
+        gone = set()
+        for run in runs:
+            if starts[run[-1] + 2] - starts[run[0]] >= op10.MIN_RUN:
+                gone |= set(range(run[0], run[-1] + 2))
+                cut += len(run)
+        for i in range(count):
+            want += b"" if i in gone else data[starts[i] : starts[i + 1]]
+        assert op10.without(text, repeats) == (want.decode(), cut)
+    assert op10.without(text, list(range(count - 1)))[0] == ""
+
+
+def test_every_cut_chunk_stays_somewhere(spark):
+    chance = random.Random(23)
+    pool = [words(chance, 12) + ". " for _ in range(40)]
+    rows = [(i, "".join(chance.choice(pool) for _ in range(chance.randrange(1, 25)))) for i in range(60)]
+    out = {r["doc_id"]: r for r in op10.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: r["text"] for k, r in out.items()} == brute_cuts(rows) and sum(r["n_cut"] for r in out.values()) > 50
+    chunks = lambda t: {t.encode()[a:b] for a, b in itertools.pairwise([0, *op10.chunk_ends(t.encode()).tolist()])}
+    kept = "\0".join(r["text"] for r in out.values()).encode()
+    assert all(c in kept for _, t in rows for c in chunks(t))
 
 
 def test_passages_stay_once(spark):

@@ -10,6 +10,9 @@ differ in BITS of the 256 bits at most. At a cosine of 0.8, the least that links
 random pair meets the bound once in 3e10. Candidates form coarse components, and within each of these the sets themselves
 decide, so nothing links that is not alike. Of pairs just at the bound the search finds 99.5 % or more (tests/llm measure it); a larger cosine is missed still less.
 
+Texts that share the smallest hash of their sets, under one of two mixings, are held against one of them first, so that a large group of near copies is
+a few nodes' worth of links when it comes to the anchors, and not one for each anchor at which its members meet.
+
 Scale: fingerprints come from one pass; only sets of texts with a candidate are computed again and sent (a map of 2^26 bits of their ids
 sorts the others out beforehand). Coarse components over `most_hashes` are split into pairs of parts; each group yields a forest of links. The
 comparisons at anchors are quadratic in the distinct texts, n * n / 17 of one 64-bit word each, spread evenly over 32,768 anchors.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MOST_IDS, cut, without
@@ -34,10 +37,11 @@ from .components import components
 from .op4_simhash import MOST, apart, join_up, links, majority, perfect_cover
 
 WORDS, BITS, LEAD_BITS = 4, 75, 26
-MOST_HASHES = 2_000_000  # of the sets that meet in one task, in each part of a component
+MOST_HASHES = 1_000_000  # of the sets that meet in one task, in each part of a component
 ROW_HASHES = 256  # what a set counts for besides its hashes
-_SLOTS = 1 << 26
+_SLOTS, _SALTS, _BLOCK = 1 << 26, 16, 200_000
 _NAMES = [f"f{k}" for k in range(WORDS)]
+_LEAST = ["m0", "m1"]
 _TABLE = bytes(32 if c < 128 and not chr(c).isalnum() else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -79,17 +83,20 @@ def shingle_sets(texts: list[str | None], shingle: int, known: dict | None = Non
     return out
 
 
-def prints_of(sets: list[np.ndarray]) -> np.ndarray:
-    """WORDS fingerprints of each set, by hashes mixed anew for each; zeros for an empty set."""
-    out = np.zeros((len(sets), WORDS), dtype=np.uint64)
+def prints_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """WORDS fingerprints of each set, by hashes mixed anew for each, and the smallest hashes of the first two of these; zeros for an empty set."""
+    out, least = np.zeros((len(sets), WORDS), dtype=np.uint64), np.zeros((len(sets), len(_LEAST)), dtype=np.uint64)
     rows = [i for i, x in enumerate(sets) if len(x)]
-    if rows:
-        sizes = np.array([len(sets[i]) for i in rows])
-        starts, hashes = np.cumsum(sizes) - sizes, np.concatenate([sets[i] for i in rows])
+    for at in range(0, len(rows), 200):
+        some = rows[at : at + 200]
+        sizes = np.array([len(sets[i]) for i in some])
+        starts, hashes = np.cumsum(sizes) - sizes, np.concatenate([sets[i] for i in some])
         for k in range(WORDS):
             hashes = mixed(hashes + np.uint64(0xA0761D6478BD642F))
-            out[rows, k] = majority(hashes, starts)
-    return out
+            out[some, k] = majority(hashes, starts)
+            if k < len(_LEAST):
+                least[some, k] = np.minimum.reduceat(hashes, starts)
+    return out, least
 
 
 def node_of(text: str | None, shingles: np.ndarray) -> int:
@@ -112,17 +119,21 @@ def linked(sets: list[np.ndarray], prints: np.ndarray, alike: tuple[int, int]) -
         j = j[apart(prints, np.full(len(j), i), j) <= BITS]
         if not len(j) or not size[i]:
             continue
-        every = np.concatenate([sets[x] for x in j])
-        spot = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
-        common = np.add.reduceat((sets[i][spot] == every).astype(np.int64), np.cumsum(size[j]) - size[j])
-        j = j[alike[1] ** 2 * common**2 >= bound(i, j)]
-        join_up(label, np.full(len(j), i), j)
+        for part in np.split(j, np.flatnonzero(np.diff(np.cumsum(size[j]) // _BLOCK)) + 1):
+            part = part[label[part] != label[i]]
+            if not len(part):
+                continue
+            every = np.concatenate([sets[x] for x in part])
+            spot = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+            common = np.add.reduceat((sets[i][spot] == every).astype(np.int64), np.cumsum(size[part]) - size[part])
+            part = part[alike[1] ** 2 * common**2 >= bound(i, part)]
+            join_up(label, np.full(len(part), i), part)
     rows = np.flatnonzero(label != np.arange(n))
     return rows, label[rows]
 
 
 def sketched(texts: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node, size (distinct shingles) and the fingerprints of every row of doc_id and text."""
+    """doc_id, node, size (distinct shingles), fingerprints and smallest hashes of every row of doc_id and text."""
     known = _Hashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,19 +143,40 @@ def sketched(texts: DataFrame, shingle: int) -> DataFrame:
                 rows = batch.column(1).to_pylist()
                 sets = shingle_sets(rows, shingle, known)
                 node = np.array([node_of(t, x) for t, x in zip(rows, sets, strict=True)], dtype=np.uint64).view(np.int64)
-                prints = prints_of(sets).view(np.int64)
-                columns = [node, np.array([len(x) for x in sets]), *(np.ascontiguousarray(prints[:, k]) for k in range(WORDS))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "node", "size", *_NAMES])
+                found = np.concatenate(prints_of(sets), axis=1).view(np.int64)
+                columns = [node, np.array([len(x) for x in sets]), *map(np.ascontiguousarray, found.T)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "node", "size", *_NAMES, *_LEAST])
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, node bigint, size bigint, " + ", ".join(f"{x} bigint" for x in [*_NAMES, *_LEAST]))
+
 
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, node bigint, size bigint, " + ", ".join(f"{x} bigint" for x in _NAMES))
+def _mark(side: str) -> Column:
+    return F.xxhash64(*[f"{side}{k}" for k in range(WORDS)])
+
+
+def led(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of marks of fingerprints that differ in BITS bits at most and share one of their smallest hashes; b is the first that does.
+
+    One pair a fingerprint and hash. Leaders are repeated for each of _SALTS parts, so that a hot hash is not one task.
+    """
+    shared = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col(x).alias("least")) for k, x in enumerate(_LEAST)])).alias("at")
+    rows = prints.select(*_NAMES, "mark", shared).select(*_NAMES, "mark", "at.*")
+    first = F.min(F.struct(*[F.col(f"f{k}").alias(f"l{k}") for k in range(WORDS)])).alias("first")
+    leaders = rows.groupBy("which", "least").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("which", "least", "first.*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    bits = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"l{k}"))) for k in range(WORDS)), F.lit(0))
+    met = rows.withColumn("salt", F.pmod("mark", F.lit(_SALTS)).cast("int")).join(leaders, ["which", "least", "salt"]).where(bits <= BITS)
+    return met.select(F.col("mark").alias("a"), _mark("l").alias("b")).where("a <> b")
 
 
 def candidates(nodes: DataFrame, most: int = MOST) -> DataFrame:
     """node, least_id, size and root of every node that shares its coarse component with others."""
-    mark = lambda side: F.xxhash64(*[f"{side}{k}" for k in range(WORDS)])
-    found = links(nodes.select(*_NAMES).distinct(), WORDS, perfect_cover(WORDS), 1, BITS, most, LEAD_BITS)
-    coarse = components(found.select(mark("a").alias("a"), mark("b").alias("b")))
-    marked = nodes.withColumn("mark", mark("f"))
+    prints = cut(nodes.groupBy(*_NAMES).agg(*[F.min(x).alias(x) for x in _LEAST]).withColumn("mark", _mark("f")))
+    near = cut(led(prints))
+    known = components(near)
+    labelled = prints.join(known, F.col("mark") == F.col("a"), "left").select(*_NAMES, F.coalesce("b", "mark").alias("known"))
+    found = links(labelled, WORDS, perfect_cover(WORDS), 1, BITS, most, LEAD_BITS)
+    coarse = components(found.select(_mark("a").alias("a"), _mark("b").alias("b")).unionAll(near))
+    marked = nodes.withColumn("mark", _mark("f"))
     twins = marked.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("a"), F.col("mark").alias("b"))
     rooted = coarse.unionAll(coarse.select("b", F.col("b").alias("b2"))).unionAll(twins).groupBy("a").agg(F.min("b").alias("root"))
     return cut(marked.join(rooted, F.col("mark") == F.col("a")).select("node", "least_id", "size", "root"))
@@ -175,7 +207,7 @@ def confirmed(texts: DataFrame, chosen: DataFrame, shingle: int, alike: tuple[in
                 ids, nodes = batch.column("doc_id").to_pylist(), [node_of(None, s) for s in sets]
                 new = [k for k in range(len(sets)) if len(sets[k]) and (ids[k], nodes[k]) not in told]  # repeated rows once a task
                 told.update((ids[k], nodes[k]) for k in new)
-                prints = prints_of([sets[k] for k in new]).view(np.int64)
+                prints = prints_of([sets[k] for k in new])[0].view(np.int64)
                 columns = [np.array([nodes[k] for k in new], dtype=np.uint64).view(np.int64), *(np.ascontiguousarray(prints[:, w]) for w in range(WORDS))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(new, pa.int64())), *map(pa.array, columns), pa.array([sets[k].tobytes() for k in new], pa.binary())], names=["doc_id", "own", *_NAMES, "shingles"])
 
@@ -231,7 +263,7 @@ def alike_documents(documents: DataFrame, shingle: int = 5, alike: tuple[int, in
     """
     texts = documents.where("doc_id is not null").select("doc_id", "text")
     named = cut(sketched(texts, shingle))
-    nodes = cut(named.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.min(x).alias(x) for x in ("size", *_NAMES)]))
+    nodes = cut(named.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.min(x).alias(x) for x in ("size", *_NAMES, *_LEAST)]))
     pairs = confirmed(texts, candidates(nodes.where("size > 0"), most), shingle, alike, most_hashes)
     # A component's nodes are (least_id, node), so that its smallest one names it.
     vertices = nodes.select("node", "least_id", F.struct("least_id", "node").alias("vertex"))

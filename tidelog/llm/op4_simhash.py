@@ -215,16 +215,21 @@ def join_up(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         i, j = i[open_], j[open_]
 
 
-def forest(prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable | None = None, lead: np.ndarray | None = None, lead_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable | None = None, lead: np.ndarray | None = None, lead_bits: int = 64, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, root) that join the rows which home rows reach, one a row at most. prints: a column a seed.
 
     told: which of the pairs (i, j), i a home row, count. lead: one word of each row, in which pairs differ in lead_bits at most.
+    known: rows of equal value are joined already, and one link speaks for all of them.
     """
     n = len(prints)
-    label = np.arange(n)
+    own = np.arange(n)
+    if known is not None:
+        _, first, kind = np.unique(known, return_index=True, return_inverse=True)
+        own = first[kind]
+    label = own.copy()
     homes = np.flatnonzero(home)
     lead = np.ascontiguousarray(prints[:, 0]) if lead is None else lead
-    step = max(1, 1_000_000 // max(1, n))
+    step = max(1, 250_000 // max(1, n))
     for at in range(0, len(homes), step):
         some = homes[at : at + step]
         row, j = np.nonzero(np.bitwise_count(lead[some, None] ^ lead[None, :]) <= min(most_bits, lead_bits))
@@ -237,32 +242,32 @@ def forest(prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable
             mine = told(i, j)
             i, j = i[mine], j[mine]
         join_up(label, i, j)
-    rows = np.flatnonzero(label != np.arange(n))
+    rows = np.flatnonzero((label != np.arange(n)) & (own == np.arange(n)))
     return rows, label[rows]
 
 
-def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable, lead: np.ndarray, lead_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal group, at least one of them at home there; groups are sorted. told, lead: as in forest()."""
+def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits: int, told: Callable, lead: np.ndarray, lead_bits: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal group, at least one of them at home there; groups are sorted. told, lead, known: as in forest()."""
     first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(groups)))
     large = size > 256
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for a, n in zip(first[large], size[large], strict=True):
-        rows, roots = forest(prints[a : a + n], home[a : a + n], most_bits, lambda i, j, a=a: told(i + a, j + a), lead[a : a + n], lead_bits)
+        rows, roots = forest(prints[a : a + n], home[a : a + n], most_bits, lambda i, j, a=a: told(i + a, j + a), lead[a : a + n], lead_bits, known[a : a + n])
         out.append((rows + a, roots + a))
-    # The small groups together: every home row against its whole group, some two million pairs at a time.
+    # The small groups together: every home row against its whole group, some 500,000 pairs at a time.
     start, reach = np.repeat(first, size), np.repeat(size, size)
     homes = np.flatnonzero(home & (reach <= 256))
     work = np.cumsum(reach[homes])
-    cuts = np.searchsorted(work, np.arange(2_000_000, (work[-1] if len(work) else 0) + 2_000_000, 2_000_000))
+    cuts = np.searchsorted(work, np.arange(500_000, (work[-1] if len(work) else 0) + 500_000, 500_000))
     for part in np.split(homes, np.unique(cuts[cuts < len(homes)])):
         if len(part):
             n = reach[part]
             i = np.repeat(part, n)
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[part], n)
-            near = np.bitwise_count(lead[i] ^ lead[j]) <= min(most_bits, lead_bits)
+            near = np.flatnonzero((np.bitwise_count(lead[i] ^ lead[j]) <= min(most_bits, lead_bits)) & (known[i] != known[j]))
             i, j = i[near], j[near]
-            close = (apart(prints, i, j) <= most_bits) & (i != j)
+            close = apart(prints, i, j) <= most_bits
             i, j = i[close], j[close]
             mine = told(i, j)
             out.append((i[mine], j[mine]))
@@ -272,11 +277,13 @@ def compare(groups: np.ndarray, prints: np.ndarray, home: np.ndarray, most_bits:
 def links(nodes: DataFrame, words: int, cover: tuple[Block, ...], within: int, most_bits: int, most: int = MOST, lead_bits: int = 64) -> DataFrame:
     """Pairs of fingerprints (a0, a1, ..., b0, b1, ...) that link, enough of them to join every component.
 
-    nodes: f0, f1, ..., distinct. `most_bits` holds over all words together. With several words, those that meet in a block of one word
+    nodes: f0, f1, ..., distinct, and perhaps `known`: nodes of one value of it are joined already, and no links between these are given.
+    `most_bits` holds over all words together. With several words, those that meet in a block of one word
     are first held against each other by the next word, with lead_bits.
     """
     spark = nodes.sparkSession
     names = [f"f{k}" for k in range(words)]
+    sent = [*names, *(["known"] if "known" in nodes.columns else [])]
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -294,7 +301,8 @@ def links(nodes: DataFrame, words: int, cover: tuple[Block, ...], within: int, m
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 2_000):
-                prints = _matrix(whole.slice(at, 2_000), names)
+                part = whole.slice(at, 2_000)
+                prints = _matrix(part, names)
                 row, key, home = anchors(prints, cover, within)
                 pair = np.zeros(len(row), dtype=np.int64)
                 if len(hot_keys):  # each row of a hot anchor goes to every pair of parts that has its own part
@@ -305,9 +313,9 @@ def links(nodes: DataFrame, words: int, cover: tuple[Block, ...], within: int, m
                     other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
                     pair = np.minimum(mine, other) * each + np.maximum(mine, other)
                 group = ((key << 35 | pair) << 1) | home
-                yield pa.RecordBatch.from_arrays([pa.array(group), *(pa.array(prints[row, k].view(np.int64)) for k in range(words))], names=["g", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(group), *(part.column(x).take(pa.array(row)) for x in sent)], names=["g", *sent])
 
-    dealt = nodes.select(*names).mapInArrow(spread, "g bigint, " + ", ".join(f"{x} bigint" for x in names))
+    dealt = nodes.select(*sent).mapInArrow(spread, "g bigint, " + ", ".join(f"{x} bigint" for x in sent))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, F.shiftright("g", 1)).sortWithinPartitions("g")
     ends = [f"{side}{k}" for side in "ab" for k in range(words)]
@@ -321,7 +329,8 @@ def links(nodes: DataFrame, words: int, cover: tuple[Block, ...], within: int, m
             prints = _matrix(run, names)
             block = (g >> 36) & 31
             lead = prints[np.arange(len(g)), next_word[block]]
-            i, j = compare(g >> 1, prints, (g & 1).astype(bool), most_bits, lambda i, j: here(prints, i, j, block[i], cover, within), lead, lead_bits)
+            known = run.column(sent[-1]).to_numpy() if len(sent) > words else np.arange(len(g))
+            i, j = compare(g >> 1, prints, (g & 1).astype(bool), most_bits, lambda i, j: here(prints, i, j, block[i], cover, within), lead, lead_bits, known)
             both = np.unique(np.concatenate([prints[np.maximum(i, j)], prints[np.minimum(i, j)]], axis=1), axis=0).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], names=ends)
 

@@ -45,7 +45,7 @@ from .common import table
 
 NAME = "op8_sentencepiece"
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-SAMPLES, ZIPF, WIDTH, FAINT, CACHE, BATCH = 2, 10.0, 16, 60.0, 1_000_000, 1 << 19
+SAMPLES, ZIPF, WIDTH, FAINT, CACHE, BATCH = 2, 10.0, 16, 60.0, 600_000, 1 << 17
 _UNIT = re.compile("▁+[^▁\n]*|\n|[^▁\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
