@@ -92,18 +92,62 @@ def test_language_model():
     model = op2.fit([f"{t} {i}" for ts in texts.values() for t in ts for i in range(20)], [k for k in texts for _ in range(20)], epochs=6)
     for lang, (text,) in texts.items():
         assert model.predict(text)[0] == lang
-    for nothing in (None, "", "123 !?", "\n"):
+    for nothing in (None, "", "123 !?", "\n", "½ ²", "Ⅷ ① ٣", "\u0301"):
         assert model.predict(nothing) == ("und", 0.0)
     assert 0 < len(model.used) < 1 << op2.BITS
     # sums over the whole text, by brute force over the n-grams
     text = "the end of it"
-    grams = np.concatenate(op2.features(text))
+    grams = np.concatenate([x for segment in op2.features(text) for x in segment])
     full = np.zeros((1 << op2.BITS, 3))
     full[model.used] = model.weights
     assert np.allclose(model.logits(text), model.level + full[grams].sum(axis=0) * op2.SCALE / len(grams), atol=1e-4)
     assert op2.fit([], []).predict("word") == ("und", 0.0)
 
 
+def test_language_segments(monkeypatch):
+    """A text that is longer than a segment has the n-grams, and the scores, that it has in one piece."""
+    model = op2.fit(["the cat and the dog", "der hund und die katze"] * 10, ["xx", "yy"] * 10)
+    text = "Die Katze und the ΣΊΣΥΦΟΣ \U0001f642 dog " * 40
+    whole, want = [np.sort(np.concatenate(x)) for x in zip(*op2.features(text), strict=True)], model.logits(text)
+    for size in (1, 2, 3, 7, 64, 1_000):
+        monkeypatch.setattr(op2, "SEGMENT", size)
+        assert all(np.array_equal(a, np.sort(np.concatenate(b))) for a, b in zip(whole, zip(*op2.features(text), strict=True), strict=True))
+        assert np.allclose(model.logits(text), want)
+
+
+def test_language_fit_is_ftrl():
+    """Against a plain version of the published update, a coordinate at a time."""
+    texts, langs = ["aa ab", "ba bb", "ab ab", "bb ba", "aa", "bb"], ["x", "y", "x", "y", "x", "y"]
+    model = op2.fit(texts, langs, epochs=2, seed=5)
+    chance = np.random.default_rng(5)
+    order = chance.permutation(len(texts))
+    held, seen = order[: len(order) // 5], order[len(order) // 5 :]
+    counted = [collections.Counter(np.concatenate([x for s in op2.features(t) for x in s]).tolist()) for t in texts]
+    often = collections.Counter(k for d in seen for k in counted[d])
+    idf = {k: np.log((len(seen) + 1) / (n + 1)) + 1 for k, n in often.items()}
+    z, n = collections.defaultdict(lambda: [0.0, 0.0]), collections.defaultdict(lambda: [0.0, 0.0])
+
+    def weight(k, c):
+        l1 = 0.0 if k == "bias" else op2.L1
+        return 0.0 if abs(z[k][c]) <= l1 else -(z[k][c] - np.sign(z[k][c]) * l1) / ((op2.BETA + n[k][c] ** 0.5) / op2.ALPHA + op2.L2)
+
+    for _ in range(2):
+        for d in chance.permutation(seen):
+            x = {k: op2.SCALE * idf.get(k, 0.0) * v / sum(counted[d].values()) for k, v in counted[d].items()} | {"bias": 1.0}
+            w = {k: [weight(k, c) for c in (0, 1)] for k in x}
+            e = np.exp([sum(w[k][c] * x[k] for k in x) for c in (0, 1)])
+            p = e / e.sum()
+            for k in x:
+                for c in (0, 1):
+                    g = (p[c] - (langs[d] == ["x", "y"][c])) * x[k]
+                    z[k][c] += g - ((n[k][c] + g * g) ** 0.5 - n[k][c] ** 0.5) / op2.ALPHA * w[k][c]
+                    n[k][c] += g * g
+    assert len(held) == 1 and np.allclose(model.level, [weight("bias", c) for c in (0, 1)], atol=1e-6)
+    got = dict(zip(model.used.tolist(), model.weights, strict=True))
+    want = {k: [weight(k, c) * idf[k] for c in (0, 1)] for k in idf}
+    assert set(got) == {k for k, v in want.items() if any(v)} and all(np.allclose(got[k], want[k], rtol=1e-4, atol=1e-5) for k in got)
+
+
 def test_language_odd_rows(spark):
     docs = odd_documents(spark)
     model = op2.fit(["plain words", "autre chose"] * 8, ["en", "fr"] * 8)
@@ -113,9 +157,15 @@ def test_language_odd_rows(spark):
 
 
 def test_rare_labels_stay_in_the_sample(spark):
-    docs = spark.range(30_040).selectExpr("id as doc_id", "cast(id as string) as text", "case when id < 40 then 'rare' else concat('l', id % 6) end as lang")
-    found = collections.Counter(r[2] for r in labelled_sample(docs.select("doc_id", "lang"), docs, "lang", 70, 400))
-    assert sum(found.values()) == 400 and found["rare"] > 25 and all(40 <= found[f"l{i}"] <= 85 for i in range(6))
+    sizes = {f"l{i}": 900 for i in range(8)} | {"rare": 30}
+    rows = [(i * 10_000 + k, f"text {k}", name) for i, (name, n) in enumerate(sizes.items()) for k in range(n)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "x", "l0"), (1_000_000, None, "l1"), (1_000_001, "y", None), (1_000_002, "z" * 70_000, "long")], "doc_id bigint, text string, lang string")
+    found = labelled_sample(docs.select("doc_id", "lang"), docs, "lang", 70, 400)
+    counts = collections.Counter(r[2] for r in found)
+    assert counts.pop("rare") == 30 and set(counts) == {f"l{i}" for i in range(8)} and all(39 <= n <= 41 for n in counts.values())
+    assert found == labelled_sample(docs.repartition(7).select("doc_id", "lang"), docs.repartition(3), "lang", 70, 400)
+    few = labelled_sample(docs.select("doc_id", "lang"), docs, "lang", 70, 5)
+    assert len({r[2] for r in few}) == 9 and labelled_sample(docs.where("false"), docs, "lang", 70, 5) == []
 
 
 def test_folds(spark):

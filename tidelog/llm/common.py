@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,10 +33,12 @@ def fold(key: str, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a temporary one does in local mode, and nothing does on a cluster."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
@@ -69,26 +71,25 @@ def without(documents: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return documents.join(side, F.col(f"`{key}`").eqNullSafe(F.col(name)), "left_anti")
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows, those with the smallest key hashes; only the keys are sorted."""
-    chosen = df.select(key).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(rows).distinct()
-    return df.join(F.broadcast(chosen), key, "left_semi")  # `rows` bounds the broadcast side
+#: Bytes of the longest text that a classifier learns from; longer ones are scored like all others.
+LEARNED_BYTES = 65_536
 
 
 def labelled_sample(labels: DataFrame, documents: DataFrame, label: str, per_class: int, most: int) -> list:
-    """Driver rows (text, label) to fit a classifier on: some per_class of each label, `most` at most in all.
+    """Driver rows (text, label) to fit a classifier on: per_class rows of each label, or most / labels of each if that is less (one at least).
 
-    labels: doc_id and `label`, whose values are few. A class of n rows gives those whose key hash falls into the
-    first per_class / n of the range, so the same rows whatever the partitions. Past `most` all labels lose in
-    proportion. Only ids are gathered before the texts of the chosen ones are read.
+    labels: doc_id and `label`. Of each label the rows of the smallest key hashes are taken, so the same ones whatever the partitions; each task
+    passes on per_class rows a label at most. Only ids are gathered before the texts of the chosen ones are read, and texts over
+    LEARNED_BYTES are left out, so that the driver holds most * LEARNED_BYTES at most.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label).distinct()
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1_000).collect()}
-    if not sizes:
+    own = Window.partitionBy(label).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), "doc_id")
+    ranked = cut(rows.withColumn("own_rank", F.row_number().over(own)).where(F.col("own_rank") <= per_class))
+    kinds = ranked.where("own_rank = 1").count()
+    if not kinds:
         return []
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_class / n))])[F.col(label)]
-    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), F.lit(1 << 30))
-    chosen = rows.where(rank / float(1 << 30) < share).orderBy(rank / share, "doc_id", label).limit(most)
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", label)  # `most` bounds the broadcast side
+    chosen = ranked.where(F.col("own_rank") <= max(1, most // kinds)).select("doc_id", label)
+    texts = documents.where(F.col("text").isNotNull() & (F.octet_length("text") <= LEARNED_BYTES)).select("doc_id", "text")
+    side = F.broadcast(chosen) if chosen.count() <= MOST_IDS else chosen
+    found = texts.join(side, "doc_id").select("doc_id", "text", label)
     return sorted(found.collect(), key=lambda r: (str(r[0]), r[1], str(r[2])))

@@ -6,17 +6,19 @@ the end of the word it is in; chunks hold whole words and are some 2 * REACH byt
 bytes only, so an insertion changes the chunks around it and no others, and a passage that two texts share has the
 same chunks in both, up to its edges.
 
-What is deduplicated is a digest (BLAKE2b, 128 bits) of two neighbouring chunks: single chunks of a few words can
-agree by chance, two in a row of MIN_UNIT bytes do not. A text of one chunk is one unit if it has MIN_BYTES bytes. Of equal
-units the one of the smallest (doc_id, place) is kept; from all others both chunks are cut out.
+What is compared is a digest (BLAKE2b, 128 bits) of two neighbouring chunks, a unit, of MIN_UNIT bytes at least; a text of one chunk is one unit. A unit is
+repeated if an equal one has a smaller (doc_id, place). Repeated units that follow each other are a run, and a run of MIN_RUN bytes or more
+is cut out, both chunks of each of its units: single chunks of a few words agree by chance, and short phrases come again in unrelated texts.
+Whatever is cut stands at an earlier place, so the first of all places of every chunk stays.
 
-Scale: a unit is a row of four longs. Counts and first places are pre-aggregated by digest; the join that brings
-them back can split a hot digest, and goes by shuffle whatever its size. Texts are shuffled once, to meet their cuts.
+Scale: a first pass counts units by half their digest, pre-aggregated; those that come more than once are marked in a map of 2^27 bits. The second pass
+sends only units that the map lets through, and finds first places among these by the whole digest; minima are pre-aggregated, and the
+join that brings them back can split a hot digest. Texts are shuffled once, to meet their cuts.
 
 Defined cases: null text stays null, an empty one empty; a text of which nothing is left is empty, its row stays; rows that
 repeat doc_id and text are one document; null ids come first; a text without white space is cut where the hash says, between
-characters, and after MAX_CHUNK bytes at the latest; an empty table gives an empty result; all other columns are kept,
-n_chars counts the new text.
+characters, and after MAX_CHUNK bytes at the latest; texts of any length are gone through whole; an empty table gives an empty result; a column
+n_cut is replaced, all other columns are kept, n_chars counts the new text.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from .common import free, table
+from .common import cut, free, table
 
 NAME = "op10_substrings"
-REACH, MIN_UNIT, MIN_BYTES, MAX_CHUNK, NEXT_SPACE = 20, 40, 64, 2_048, 64
+REACH, MIN_UNIT, MIN_RUN, MAX_CHUNK, NEXT_SPACE = 20, 40, 120, 2_048, 64
+_SLOTS = 1 << 27
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
@@ -103,23 +106,49 @@ def units(text: bytes) -> list[tuple[int, bytes]]:
     """(chunk, digest) of every two neighbouring chunks from that chunk on."""
     ends = chunk_ends(text).tolist()
     if len(ends) < 2:
-        return [(0, blake2b(text, digest_size=16).digest())] if len(text) >= MIN_BYTES else []
+        return [(0, blake2b(text, digest_size=16).digest())] if len(text) >= MIN_RUN else []
     starts = [0, *ends]
     return [(i, blake2b(text[starts[i] : ends[i + 1]], digest_size=16).digest()) for i in range(len(ends) - 1) if ends[i + 1] - starts[i] >= MIN_UNIT]
 
 
-def without(text: str, cut: list[int]) -> str:
-    """The text without the units that begin at the chunks in `cut`."""
+def without(text: str, repeats: list[int]) -> tuple[str, int]:
+    """The text without the long runs of the units that begin at the chunks in `repeats`, and how many units were cut."""
     data = text.encode("utf-8")
     ends = chunk_ends(data).tolist()
-    gone = {i for k in cut for i in (k, k + 1)}
-    starts = [0, *ends]
-    return b"".join(data[starts[i] : ends[i]] for i in range(len(ends)) if i not in gone).decode("utf-8")
+    starts, last = [0, *ends], len(ends) - 1
+    gone, count, at = set(), 0, 0
+    while at < len(repeats):
+        to = at
+        while to + 1 < len(repeats) and repeats[to + 1] == repeats[to] + 1:
+            to += 1
+        a, b = repeats[at], min(repeats[to] + 1, last)
+        if ends[b] - starts[a] >= MIN_RUN:
+            gone.update(range(a, b + 1))
+            count += to - at + 1
+        at = to + 1
+    return b"".join(data[starts[i] : ends[i]] for i in range(len(ends)) if i not in gone).decode("utf-8") if gone else text, count
 
 
 def repeated(documents: DataFrame) -> DataFrame:
-    """doc_id, text_mark and cuts: the units of each document that occur at an earlier place."""
+    """doc_id, text_mark and repeats: the units of each document that occur at an earlier place."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    marked = documents.where("text is not null").select("doc_id", "text", _mark())
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                texts = whole.column("text").slice(at, 500).to_pylist()
+                digests = b"".join(d for text in texts for _, d in units(text.encode("utf-8")))
+                half, count = np.unique(np.frombuffer(digests, dtype=np.int64)[0::2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(count)], names=["half", "n"])
+
+    often = marked.select("text").mapInArrow(halves, "half bigint, n bigint").groupBy("half").agg(F.sum("n").alias("n")).where("n > 1")
+    slot = F.pmod("half", F.lit(_SLOTS))
+    maps = often.groupBy(F.shiftright(slot, 15).alias("k")).agg(F.bitmap_construct_agg(slot % (1 << 15)).alias("bits"))
+    held = np.zeros((_SLOTS >> 15, 1 << 12), dtype=np.uint8)
+    for r in maps.toLocalIterator():  # 4,096 pieces of 4 KiB at most
+        held[r["k"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    held = held.reshape(-1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,17 +157,18 @@ def repeated(documents: DataFrame) -> DataFrame:
                 row, place, digests = [], [], []
                 marks = batch.column("text_mark").to_pylist()
                 for k, text in enumerate(batch.column("text").to_pylist()):
-                    for i, digest in units(text.encode("utf-8")) if text else ():
+                    for i, digest in units(text.encode("utf-8")):
                         row.append(k), place.append(marks[k] << 32 | i), digests.append(digest)
                 two = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), ids, pa.array(place, pa.int64())], names=["d0", "d1", "doc_id", "place"])
+                x = two[:, 0] % _SLOTS
+                some = np.flatnonzero(held[x >> 3] >> (x & 7).astype(np.uint8) & 1)
+                ids = batch.column("doc_id").take(pa.array(np.array(row, dtype=np.int64)[some]))
+                yield pa.RecordBatch.from_arrays([pa.array(two[some, 0]), pa.array(two[some, 1]), ids, pa.array(np.array(place, dtype=np.int64)[some])], names=["d0", "d1", "doc_id", "place"])
 
-    marked = documents.select("doc_id", "text", _mark())
-    rows = marked.mapInArrow(run, f"d0 bigint, d1 bigint, doc_id {kind}, place bigint")
+    rows = cut(marked.mapInArrow(run, f"d0 bigint, d1 bigint, doc_id {kind}, place bigint"))
     first = rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = rows.join(first.select("d0", "d1", "first"), ["d0", "d1"]).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("text_mark")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("cuts"))
+    return later.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("text_mark")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("repeats"))
 
 
 def _mark():
@@ -147,23 +177,21 @@ def _mark():
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """The documents with every passage kept at its first place only; the columns are the same, and n_cut units were cut."""
+    """The documents with every repeated passage left out but at its first place; the columns are the same, and n_cut units were cut."""
     documents = documents.drop("n_cut")
-    same, theirs, own, gone = free(documents, "cut_id", "cut_mark", "own_mark", "cuts")
-    cuts = repeated(documents).select(F.col("doc_id").alias(same), F.col("text_mark").alias(theirs), F.col("cuts").alias(gone))
+    same, theirs, own, gone = free(documents, "cut_id", "cut_mark", "own_mark", "repeats")
+    found = repeated(documents).select(F.col("doc_id").alias(same), F.col("text_mark").alias(theirs), F.col("repeats").alias(gone))
     frame = documents.withColumn(own, _mark())
-    met = frame.join(cuts, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col(own) == F.col(theirs)), "left").drop(own, theirs, same)
+    met = frame.join(found, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col(own) == F.col(theirs)), "left").drop(own, theirs, same)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spot = batch.schema.get_field_index("text")
-            cut = batch.column(batch.schema.get_field_index(gone))
-            texts = batch.column(spot)
-            new = [without(t.as_py(), c.as_py()) if c.is_valid else t.as_py() for t, c in zip(texts, cut, strict=True)]
-            counts = [len(c) if c.is_valid else 0 for c in cut]
-            columns = [pa.array(new, pa.string()) if x == "text" else batch.column(batch.schema.get_field_index(x)) for x in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], names=[*names, "n_cut"])
+            repeats = batch.column(batch.schema.get_field_index(gone))
+            new = [without(t.as_py(), c.as_py()) if c.is_valid else (t.as_py(), 0) for t, c in zip(batch.column(spot), repeats, strict=True)]
+            columns = [pa.array([x[0] for x in new], pa.string()) if x == "text" else batch.column(batch.schema.get_field_index(x)) for x in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in new], pa.int32())], names=[*names, "n_cut"])
 
     out = met.mapInArrow(run, StructType(list(documents.schema.fields)).add("n_cut", IntegerType()))
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out

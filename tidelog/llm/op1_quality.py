@@ -10,7 +10,7 @@ most), on the driver. The largest response has one chunk as its source, so gradi
 
 Defined cases: null text is scored as empty; an empty text is one chunk of padding; without labelled rows of both
 classes the score is the labelled share of 1 (0.5 without any); repeated rows and null ids are scored as they are;
-an empty table gives an empty result; other columns are ignored.
+a text of any length is scored whole; an empty table gives an empty result; a column of the score's name is replaced, all others are kept.
 """
 
 from __future__ import annotations

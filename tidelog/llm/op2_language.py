@@ -1,26 +1,26 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-A text's lower-cased code points, with a space on either side, give n-grams of one to three, hashed into 2^BITS
+A text's lower-cased code points, with a space at either end, give n-grams of one to three, hashed into 2^BITS
 features. A feature's value is its share of the text's n-grams times its inverse document frequency. The weights
 are fitted by follow-the-regularised-leader with elastic-net penalties (L1 keeps most weights at zero), on a
-documented sample of labelled rows (PER_CLASS a language, SAMPLE at most); a temperature, fitted on a fifth of the
+documented sample of labelled rows (PER_CLASS a language, SAMPLE at most, of all languages alike); a temperature, fitted on a fifth of the
 sample that the weights don't see, calibrates the probabilities.
 
-As values are linear in the counts, a text's score is a sum of table lookups over its whole length, in segments,
-and needs no counts of its own.
+As values are linear in the counts, a text's score is a sum of table lookups over its whole length, in segments that
+carry two characters over, and needs no counts of its own: very long texts are scored as they would be in one piece.
 
-Defined cases: null text, or one without a letter, is `und` with score 0; without labelled rows every text is;
-repeated rows and null ids are predicted as they are; an empty table gives an empty result; other columns are
-ignored.
+Defined cases: null text, or one without a letter (Unicode category L), is `und` with score 0; without labelled rows every text is;
+of equally likely languages the first by name is given; repeated rows and null ids are predicted as they are; an empty table gives an empty
+result; columns named lang_pred or score are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,19 +32,21 @@ BITS, ORDERS, SCALE = 18, 3, 100.0
 PER_CLASS, SAMPLE, EPOCHS = 700, 4_000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 SEGMENT = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
-def features(text: str) -> list[np.ndarray]:
-    """For each order, the feature of every n-gram of the text."""
-    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out, gram = [], points * np.uint32(0x9E3779B1)
-    for n in range(1, ORDERS + 1):
-        if n > 1:
-            gram = (gram[:-1] ^ np.uint32(n)) * np.uint32(0x85EBCA6B) + points[n - 1 :] * np.uint32(0xC2B2AE35)
-        mixed = gram ^ (gram >> np.uint32(15))
-        out.append((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS))
-    return out
+def features(text: str) -> Iterator[list[np.ndarray]]:
+    """For each segment of the lower-cased text, and in it for each order, the features of the n-grams that begin there."""
+    whole = f" {text.lower()} "
+    for at in range(0, len(whole), SEGMENT):
+        points = np.frombuffer(whole[at : at + SEGMENT + ORDERS - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        out, gram = [], points * np.uint32(0x9E3779B1)
+        for n in range(1, ORDERS + 1):
+            if n > 1:
+                gram = (gram[:-1] ^ np.uint32(n)) * np.uint32(0x85EBCA6B) + points[n - 1 :] * np.uint32(0xC2B2AE35)
+            mixed = gram[:SEGMENT] ^ (gram[:SEGMENT] >> np.uint32(15))
+            out.append((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS))
+        yield out
 
 
 class Model:
@@ -65,8 +67,8 @@ class Model:
                 self._tables.append(np.zeros(1 << BITS, dtype=np.float32))
                 self._tables[-1][self.used] = self.weights[:, k]
         total, sums = 0, np.zeros(len(self.languages))
-        for at in range(0, max(1, len(text)), SEGMENT):
-            for grams in features(text[at : at + SEGMENT].lower()):
+        for segment in features(text):
+            for grams in segment:
                 total += len(grams)
                 for k, t in enumerate(self._tables):
                     sums[k] += t[grams].sum(dtype=np.float64)
@@ -93,7 +95,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 5)
     target = np.array([languages.index(x) for x in langs])
     counted = []
     for text in texts:
-        kind, count = np.unique(np.concatenate(features(text.lower())), return_counts=True)
+        kind, count = np.unique(np.concatenate([x for segment in features(text) for x in segment]), return_counts=True)
         counted.append((kind, count / count.sum()))
     order = random.permutation(len(texts))
     held, seen = order[: len(order) // 5], order[len(order) // 5 :]

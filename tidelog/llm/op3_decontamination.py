@@ -12,7 +12,8 @@ Broadcasting: the distinct benchmark windows are broadcast if their measured siz
 
 Defined cases: null or wordless texts have zero words and no hits; items without words or with a null id take
 no part; items that repeat an id count once; every document row gives a row, repeated rows and null ids too;
-an empty benchmark contaminates nothing; other columns are ignored.
+of equal k-gram hashes in a window any one serves, as all places of a fingerprint are tried; a document of any length is
+searched whole, in one row; an empty table gives an empty result, an empty benchmark contaminates nothing; other columns are ignored.
 """
 
 from __future__ import annotations

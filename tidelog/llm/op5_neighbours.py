@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by an inverted multi-index, under the inner product.
 
-The two halves of the vectors are quantised separately, with k centroids each (CENTRES, whatever the size, so that a query
-goes through equally many cells); a cell is a pair of centroids. A query
+The two halves of the vectors are quantised separately, with k centroids each; a cell is a pair of centroids. The number of cells grows
+as the square root of the entries (CENTRES centroids a half for CENTRES_AT entries), so that cells and entries a cell grow alike. A query
 scores the centroids of either half and goes through the pairs in order of their sum with a heap, until the
 cells gone through hold a set share of the entries. Those entries are reranked by the exact inner product in double
 precision.
 
-Fitting: centroids and share come from a sample of at most SAMPLE vectors (those of the smallest key hashes); the share
+Fitting: centroids and share come from a sample of at most SAMPLE vectors, or 64 a centroid (those of the smallest key hashes); the share
 is the smallest that gives a recall of RECALL on the sample, by brute force over it. Vectors without structure
 need a large share, clustered ones a small one. All vectors are indexed.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 NAME = "op5_neighbours"
-TOP, SAMPLE, RECALL, BLOCK, CENTRES = 20, 10_000, 0.96, 2_048, 16
+TOP, SAMPLE, RECALL, BLOCK, CENTRES, CENTRES_AT = 20, 10_000, 0.96, 2_048, 16, 50_000
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -112,8 +112,8 @@ class MultiIndex:
         return float(min(1.0, np.quantile(needs, recall)))
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int = SAMPLE, recall: float = RECALL, k: int = CENTRES) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's nearest rows. rows, queries: as usable() gives them."""
+def neighbours(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int = SAMPLE, recall: float = RECALL, k: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's nearest rows. rows, queries: as usable() gives them. k: centroids a half, by default as many as the entries call for."""
     spark = rows.sparkSession
     ranked = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= top + 1)
@@ -122,7 +122,8 @@ def neighbours(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    picked = entries.select("entry", "embedding").orderBy(F.xxhash64("entry"), "entry").limit(sample).collect()
+    k = k or max(2, round(CENTRES * (total / CENTRES_AT) ** 0.25))
+    picked = entries.select("entry", "embedding").orderBy(F.xxhash64("entry"), "entry").limit(max(sample, 64 * k)).collect()
     points = np.array([r["embedding"] for r in picked], dtype=np.float64)
     index = MultiIndex(points, k, top, recall)
 
@@ -148,7 +149,8 @@ def neighbours(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int
                 picks = batch.take(pa.array(again))
                 yield pa.RecordBatch.from_arrays([picks.column("query"), picks.column("embedding"), cells], names=["query", "embedding", "cell"])
 
-    planned = classes.select("query", "embedding").mapInArrow(visits, f"query bigint, embedding {kind}, cell int")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)  # few rows, but each goes through a heap
+    planned = classes.select("query", "embedding").repartition(parts, "query").mapInArrow(visits, f"query bigint, embedding {kind}, cell int")
     crowd = {r["cell"]: r["count"] for r in planned.groupBy("cell").count().collect()}
     blocks_of = lambda counts: F.create_map(*[F.lit(int(x)) for c, n in counts.items() for x in (c, -(-n // BLOCK))])[F.col("cell")] if counts else F.lit(1)
     parts_e = F.coalesce(blocks_of({c: n for c, n in enumerate(index.counts) if n > BLOCK}), F.lit(1))

@@ -7,11 +7,11 @@ line feed. URLs may hold spaces, so fields are counted from the right. The conve
 record: a UUID derived from the key as identifier, the ISO form of the date, a response record of HTTP headers and
 payload for http(s) documents with such headers (else one whose headers are synthesised), and the SHA-256 digests of
 block and payload. Of records with equal payloads of at least MIN_SHARED bytes the one of the smallest key is stored, and the
-others become revisit records that refer to it.
+others become revisit records that refer to it. Of foreign archives, read_arc() and read_warc() hold one file at a time, of 2 GiB at most.
 
-Files are written by Spark's text writer, gzipped: a record's last line feed is the writer's line separator, so the
-bytes are exact, commits are atomic, and any file system that Spark reaches will do. At most FILE_RECORDS records
-go to a file. Minima by digest are pre-aggregated; the join that brings them back can split a hot digest.
+Files are written by Spark's text writer, gzipped: a file is one value of some FILE_BYTES bytes of records at most (or one larger record), and the last
+line feed of its last record is the writer's line separator; so the bytes are exact, commits are atomic, memory is bounded by a file or the largest
+record on either side, and any file system that Spark reaches will do. Minima by digest are pre-aggregated; the join that brings them back can split a hot digest.
 
 Defined cases: null html is an empty payload; null url is written as `urn:none`; null keys give responses, and are not
 referred to; rows that repeat a stored key are responses as well; an empty table gives no records; other columns
@@ -35,7 +35,7 @@ from .common import scratch, table
 
 NAME = "op6_warc"
 MIN_SHARED = 100
-FILE_RECORDS = 5_000
+FILE_BYTES = 16 << 20
 DATE = "20240101000000"
 _FIELDS = {1: 5, 2: 10}
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -184,18 +184,25 @@ def convert(records: DataFrame, path: str, min_shared: int = MIN_SHARED) -> None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "digest"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        file = lambda: pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], names=["records"])
         for batch in batches:
-            out = []
             for key, data, version, first in zip(*(batch.column(x) for x in ("key", "arc", "version", "first")), strict=True):
                 key, first = key.as_py(), first.as_py()
                 refers = None if key is None or first is None or first == key else first
-                out.append(warc_record(key, parse_record(data.as_py(), 0, version.as_py())[0], refers))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                record = warc_record(key, parse_record(data.as_py(), 0, version.as_py())[0], refers)
+                if held and size + len(record) > FILE_BYTES:
+                    yield file()
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + 1
+        if held:
+            yield file()
 
     marked = records.select("key", "arc", "version").mapInArrow(digests, f"key {kind}, arc binary, version int, digest binary")
     shared = marked.where("digest is not null").groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    out = marked.join(shared, "digest", "left").select("key", "arc", "version", "first").mapInArrow(write, "record binary")
-    out.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out = marked.join(shared, "digest", "left").select("key", "arc", "version", "first").mapInArrow(write, "records binary")
+    out.select(F.col("records").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:

@@ -7,7 +7,10 @@ leaves, few slots of the others change hands.
 
 The table has `slots` rows whatever the data, so that bound holds for the broadcast; placement is one probe a row,
 without a shuffle. A key that repeats goes to the same shard; null keys are placed as the empty text. The result
-has one row per input row and keeps the columns asked for.
+has one row per input row.
+
+Defined cases: keys of any length are hashed whole; equal preferences can't meet, as shards claim in turns and pass over taken slots;
+repeated rows are all placed, alike; an empty table gives an empty result; columns named slot or shard are replaced, all others are kept.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Under each rule a document's section counts add up to its tokens.
 
 Documents are independent, so nothing is shuffled. Defined cases: null text counts as empty; an empty text has no
 sections and no tokens; special tokens' names in a text are ordinary text; repeated rows and null ids are counted as
-they are; an empty table gives an empty result; other columns are ignored.
+they are; a text of any length is encoded whole (one array of token ends a text); a token that crosses into several sections
+with equal shares goes to the earliest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
