@@ -234,16 +234,23 @@ def test_dense_component_links_linearly():
     assert len(rows) == 299 and set(roots) == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, few):
     chance = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(1000 + chance.randrange(40), 1000 + chance.randrange(40)) for _ in range(30)] + [(5000, 5000 + i) for i in range(1, 90)] + [(7, 7), (8, 7), (8, 7)]
-    got = {r["a"]: r["b"] for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    frame = spark.createDataFrame(pairs, "a bigint, b bigint")
+    got = {r["a"]: r["b"] for r in components(frame, few).collect()}
     label = {x: x for p in pairs for x in p}
     for _ in range(200):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {x: r for x, r in label.items() if x != r}
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), few).count() == 0
+    # nodes of several fields, nulls first
+    rows = [((1, None, 5), (1, "é", 2)), ((0, "z", 1), (1, None, 5)), ((0, "b", 1), (0, "a", 9)), ((0, "a", 9), (0, "c", 0))]
+    kind = "struct<none:int,name:string,f:bigint>"
+    found = {tuple(r["a"]): tuple(r["b"]) for r in components(spark.createDataFrame(rows, f"a {kind}, b {kind}"), few).collect()}
+    assert found == {(1, None, 5): (0, "z", 1), (1, "é", 2): (0, "z", 1), (0, "b", 1): (0, "a", 9), (0, "c", 0): (0, "a", 9)}
 
 
 # ---------------------------------------------------------------- op5
