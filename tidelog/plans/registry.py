@@ -466,5 +466,7 @@ def stream_changes(spark, sf_dir):
     rows = source.select(*_EVENTS).withColumn("tombstone", _tombstone())
     path = _scratch(spark, "changes")
     writer = live.changes(rows, ["user_id"], "event_id").writeStream.outputMode("update").option("checkpointLocation", _scratch(spark, "checkpoint"))
-    writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).trigger(availableNow=True)
+    with live.state_in_rocksdb(spark):
+        writer.start().awaitTermination()
     return _latest(spark.read.parquet(path).select(*_EVENTS))

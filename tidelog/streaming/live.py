@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,10 +34,22 @@ class _Newest(StatefulProcessor):
         pass
 
 
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The setting under which queries with value state can be started."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held) if held else spark.conf.unset(name)
+
+
 def changes(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     """In update mode, the rows that become the newest of their keys, one a key and micro-batch, tombstones included.
 
-    `order` is a long; of equal ones the first to come stays. State is one long for each key seen. Needs the RocksDB state store.
+    `order` is a long; of equal ones the first to come stays. State is one long for each key seen. Start it under state_in_rocksdb().
     """
     return stream.groupBy(*keys).transformWithStateInPandas(_Newest(order, stream.columns), stream.schema, "Update", "None")
 
