@@ -12,8 +12,8 @@ is cut out, both chunks of each of its units: single chunks of a few words agree
 Whatever is cut stands at an earlier place, so the first of all places of every chunk stays.
 
 Scale: a first pass counts units by half their digest, pre-aggregated; those that come more than once are marked in a map of 2^27 bits. The second pass
-sends only units that the map lets through, and finds first places among these by the whole digest; minima are pre-aggregated, and the
-join that brings them back can split a hot digest. Texts are shuffled once, to meet their cuts.
+sends only units that the map lets through, and finds first places among these by the whole digest; minima are pre-aggregated, and all places
+that are not among them are repetitions, so that nothing is joined by digest. Texts are shuffled once, to meet their cuts.
 
 Defined cases: null text stays null, an empty one empty; a text of which nothing is left is empty, its row stays; rows that
 repeat doc_id and text are one document; null ids come first; a text without white space is cut where the hash says, between
@@ -166,8 +166,9 @@ def repeated(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(two[some, 0]), pa.array(two[some, 1]), ids, pa.array(np.array(place, dtype=np.int64)[some])], names=["d0", "d1", "doc_id", "place"])
 
     rows = cut(marked.mapInArrow(run, f"d0 bigint, d1 bigint, doc_id {kind}, place bigint"))
-    first = rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = rows.join(first.select("d0", "d1", "first"), ["d0", "d1"]).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
+    # Whatever is nobody's first place is a repetition. Places spread evenly, however hot a digest is; a digest that comes once is its own first.
+    first = rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "place")).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"))
+    later = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("first_place")), "left_anti")
     return later.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("text_mark")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("repeats"))
 
 
