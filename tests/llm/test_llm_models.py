@@ -69,7 +69,7 @@ def test_quality_odd_rows(spark):
     net = op1.train(docs, labels)
     out = op1.scored(docs, net).toPandas()
     assert len(out) == 6 and out.score.between(0, 1).all()
-    assert out[out.doc_id == 2].score.iloc[0] == out[out.doc_id == 3].score.iloc[0]
+    assert abs(out[out.doc_id == 2].score.iloc[0] - out[out.doc_id == 3].score.iloc[0]) < 1e-6  # single precision, in batches of other sizes
     kept = op1.keep_good(docs, net)
     assert kept.columns == docs.columns
     none = op1.train(docs, labels.where("false"))
